@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metrolith.llm import bpe, token_counts
+from metrolith.llm import bpe, quality_rules, token_counts, url_filters
 
 TOKENIZER_OP2 = "byte_bpe_50k.json"
+#: Fixed values of the URL rules.
+LISTED = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 TOKENIZER_OP8 = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -16,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rules = quality_rules.learn(docs, table(spark, sf_dir, "labels"))
+    return quality_rules.judge(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER_OP2), public_tokenizers.PATTERN, budget=512)
 
@@ -26,10 +34,20 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.id_digest(coded).select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    number = F.regexp_extract("url", r"/([0-9]+)(?:[/.?#]|$)", 1).try_cast("long")  # the document that a page shows
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("shown"), (F.col("quality") == 0).alias("bad"))
+    labelled = pages.select("url", number.alias("shown")).join(labels, "shown")
+    return url_filters.judge(pages, LISTED, url_filters.mine(labelled)).select("page_id", "host", "path", "rule", "verdict", "mined")
+
+
 def queries() -> dict:
     return {
+        "op1_quality_rules": op1_quality_rules,
         "op2_token_counts": op2_token_counts,
         "op8_byte_bpe": op8_byte_bpe,
+        "op10_url_filters": op10_url_filters,
     }
 
 
