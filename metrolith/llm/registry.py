@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metrolith.llm import bpe, quality_rules, substring_dedup, suffix_dedup, token_counts, url_filters
+from metrolith.llm import bpe, near_dup, quality_rules, substring_dedup, suffix_dedup, token_counts, url_filters
 
 TOKENIZER_OP2 = "byte_bpe_50k.json"
 #: Fixed values of the URL rules.
@@ -36,6 +36,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=35)
 
 
+def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.find(table(spark, sf_dir, "documents"), percent=85, shingle=3)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(TOKENIZER_OP8)
     coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
@@ -56,6 +60,7 @@ def queries() -> dict:
         "op2_token_counts": op2_token_counts,
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_substring_dedup": op4_substring_dedup,
+        "op5_near_dup": op5_near_dup,
         "op8_byte_bpe": op8_byte_bpe,
         "op10_url_filters": op10_url_filters,
     }
