@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metrolith.llm import bpe, near_dup, quality_rules, substring_dedup, suffix_dedup, token_counts, url_filters
+from metrolith.llm import bpe, html_text, near_dup, pii, quality_rules, substring_dedup, suffix_dedup, token_counts, url_filters
 
 TOKENIZER_OP2 = "byte_bpe_50k.json"
 #: Fixed values of the URL rules.
@@ -40,12 +40,20 @@ def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.find(table(spark, sf_dir, "documents"), percent=85, shingle=3)
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(TOKENIZER_OP8)
     coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
     return bpe.id_digest(coded).select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.extract(table(spark, sf_dir, "documents")).drop("row")
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     number = F.regexp_extract("url", r"/([0-9]+)(?:[/.?#]|$)", 1).try_cast("long")  # the document that a page shows
@@ -61,7 +69,9 @@ def queries() -> dict:
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_near_dup": op5_near_dup,
+        "op7_html_text": op7_html_text,
         "op8_byte_bpe": op8_byte_bpe,
+        "op9_pii": op9_pii,
         "op10_url_filters": op10_url_filters,
     }
 
