@@ -13,12 +13,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Blocks, and buckets, for each shuffle partition; bytes of text that are hashed at a time.
-PER_PARTITION, SLICE_BYTES = 4, 1 << 20
+PER_PARTITION, SLICE_BYTES = 2, 1 << 17
 #: Stands for a null id: it comes after all others.
 NO_ID = np.iinfo(np.int64).max
 
@@ -98,14 +99,33 @@ def _ids(table: pa.Table) -> np.ndarray:
     return table.column(0).fill_null(NO_ID).to_numpy()
 
 
-def deal(bucket_of: np.ndarray, n_buckets: int) -> list[tuple[int, np.ndarray]]:
-    """(bucket, places) of hashes; the places keep their order."""
-    bucket = (bucket_of % np.uint64(n_buckets)).astype(np.int64)
+def deal(hashes: np.ndarray, n_buckets: int) -> list[tuple[int, np.ndarray]]:
+    """(bucket, places) of hashes, by ranges of their values; the places keep their order."""
+    bucket = ((hashes >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order])) + 1
     return [(int(bucket[p[0]]), p) for p in np.split(order, cuts) if len(p)]
 
 
+def packed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def unpacked(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def packed_ascending(values: np.ndarray) -> bytes:
+    """Ascending 64-bit values as differences, the equal bytes of all in a row."""
+    steps = np.diff(values, prepend=values.dtype.type(0))
+    return packed(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def unpacked_ascending(data: bytes, dtype=np.uint64) -> np.ndarray:
+    planes = np.frombuffer(unpacked(data), dtype=np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(dtype).ravel(), dtype=dtype)
+
+
 def offers(rows: list[tuple[int, int, list[bytes]]]) -> pa.Table:
     columns = [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32())]
     columns += [pa.array([(r[2] + [None] * 4)[i] for r in rows], pa.binary()) for i in range(4)]
@@ -123,7 +143,7 @@ def reply_of(table: pa.Table, step: int) -> dict[int, bytes]:
 
 def offer_hashes(hashes: np.ndarray, block: int, n_buckets: int) -> pa.Table:
     """hashes: sorted, each once."""
-    return offers([(b, block, [hashes[p].tobytes()]) for b, p in deal(hashes, n_buckets)])
+    return offers([(b, block, [packed_ascending(hashes[p])]) for b, p in deal(hashes, n_buckets)])
 
 
 def answer_hashes(step: int) -> Callable:
@@ -131,7 +151,7 @@ def answer_hashes(step: int) -> Callable:
 
     def answer(key: tuple, table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        given = [np.frombuffer(r["p0"], dtype=np.uint64) for r in rows]
+        given = [unpacked_ascending(r["p0"]) for r in rows]
         every = np.sort(np.concatenate(given)) if given else np.zeros(0, dtype=np.uint64)
         twice = np.unique(every[1:][every[1:] == every[:-1]])
         return replies([(r["block"], step, r["bucket"], np.packbits(found(g, twice)).tobytes()) for r, g in zip(rows, given, strict=True)])

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metrolith.llm import bpe, html_text, near_dup, pii, quality_rules, substring_dedup, suffix_dedup, token_counts, url_filters
+from metrolith.llm import bpe, decontamination, html_text, near_dup, pii, quality_rules, substring_dedup, suffix_dedup, token_counts, url_filters
 
 TOKENIZER_OP2 = "byte_bpe_50k.json"
 #: Fixed values of the URL rules.
@@ -40,6 +40,10 @@ def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.find(table(spark, sf_dir, "documents"), percent=85, shingle=3)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -69,6 +73,7 @@ def queries() -> dict:
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_near_dup": op5_near_dup,
+        "op6_decontamination": op6_decontamination,
         "op7_html_text": op7_html_text,
         "op8_byte_bpe": op8_byte_bpe,
         "op9_pii": op9_pii,

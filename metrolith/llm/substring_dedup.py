@@ -13,7 +13,6 @@ an empty table gives an empty table; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 from itertools import compress
 
 import numpy as np
@@ -33,9 +32,9 @@ SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_w
 class Words:
     """The words of a slice of documents as 64-bit codes in two lanes, and where each document's words start."""
 
-    def __init__(self, part: B.Slice):
+    def __init__(self, part: B.Slice, space: np.ndarray = SPACE):
         text = part.data
-        gap = SPACE[text]
+        gap = space[text]
         begins = ~gap
         begins[1:] &= gap[:-1]
         inner = part.starts[1:-1]
@@ -50,10 +49,12 @@ class Words:
         self.end = np.flatnonzero(ends) + 1
         self.codes = [B.Sums(B.BYTE_CODES[lane][text], lane).of(self.begin, self.end) for lane in (0, 1)]
         self.starts = np.searchsorted(self.begin, part.starts)
+        self.kept: dict[int, B.Sums] = {}
 
-    @lru_cache(maxsize=None)  # noqa: B019  goes with the slice
     def sums(self, lane: int) -> B.Sums:
-        return B.Sums(self.codes[lane], lane)
+        if lane not in self.kept:
+            self.kept[lane] = B.Sums(self.codes[lane], lane)
+        return self.kept[lane]
 
     def windows(self, length: int) -> np.ndarray:
         """Which words start a full stretch of `length` within their document."""
@@ -133,11 +134,15 @@ def remove_repeats(df: DataFrame, window: int = 35, key: str = "doc_id", text: s
     def second(block: int, docs: pa.Table, replies: pa.Table, n: int) -> pa.Table:
         own = _Block(docs, window)
         own.look(replies, n)
-        return B.offers([(b, block, [own.windows[p].tobytes()]) for b, p in B.deal(own.windows["h"], n)])
+        h, g = own.windows["h"], own.windows["g"]
+        return B.offers([(b, block, [B.packed_ascending(h[p]), g[p].tobytes()]) for b, p in B.deal(h, n)])
 
     def answer(key: tuple, table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        given = [np.frombuffer(r["p0"], dtype=WIDE) for r in rows]
+        given = []
+        for r in rows:
+            given.append(np.empty(len(r["p1"]) // 4, dtype=WIDE))
+            given[-1]["h"], given[-1]["g"] = B.unpacked_ascending(r["p0"]), np.frombuffer(r["p1"], dtype=np.uint32)
         _, count, which = _grouped(np.concatenate(given))
         parts = np.split(count[which] > 1, np.cumsum([len(g) for g in given])[:-1])
         return B.replies([(r["block"], 2, r["bucket"], np.packbits(p).tobytes()) for r, p in zip(rows, parts, strict=True)])

@@ -113,45 +113,50 @@ def common_prefixes(texts: list[bytes], minimum: int) -> tuple[np.ndarray, np.nd
     place = np.arange(len(owner)) + owner
     symbol = np.zeros(n, dtype=np.uint16)  # 0 ends a text
     symbol[place] = np.frombuffer(b"".join(texts), dtype=np.uint8).astype(np.uint16) + 1
-    # Suffix array: by seven symbols at first, then by twice as many each time; what is left equal ends with its text.
-    key = np.zeros(n, dtype=np.int64)
-    ended = np.zeros(n, dtype=bool)
-    shifted = symbol.astype(np.int64)
+    # Suffix array: by seven symbols at first, then what is still equal by twice as many each time; in the end the text
+    # decides, as if each text ended in a symbol of its own.
+    text_of = np.repeat(np.arange(len(texts)), size + 1)
+    final = start + size
+    key, ended = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
     for k in range(7):
         piece = np.zeros(n, dtype=np.int64)
-        piece[: n - k] = shifted[k:]
+        piece[: n - k] = symbol[k:]
         piece[ended] = 0
         ended |= piece == 0
         key = key << 9 | piece
-    text_of = np.repeat(np.arange(len(texts)), size + 1)
-    final = start + size
     order = np.argsort(key, kind="stable")
-    rank = np.empty(n, dtype=np.int64)
     new = np.ones(n, dtype=bool)
     new[1:] = key[order][1:] != key[order][:-1]
-    rank[order] = np.cumsum(new) - 1
+    rank = np.empty(n, dtype=np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))  # the first place of those that are equal
     width, longest = 7, int(size.max()) + 1
-    while not new.all():
-        after = np.arange(n) + width
-        inside = after <= final[text_of]
-        second = np.where(inside, rank[np.minimum(after, n - 1)] + len(texts), text_of)
-        if width >= longest:
-            second = text_of
-        both = rank * (n + len(texts) + 1) + second
-        order = np.argsort(both, kind="stable")
-        ranked = both[order]
-        new[1:] = ranked[1:] != ranked[:-1]
-        rank[order] = np.cumsum(new) - 1
+    while True:
+        tied = ~new
+        tied[:-1] |= ~new[1:]
+        places = np.flatnonzero(tied)
+        if not len(places):
+            break
+        which = order[places]
+        after = which + width
+        inside = (after <= final[text_of[which]]) & (width < longest)
+        second = np.where(inside, rank[np.minimum(after, n - 1)] + len(texts), text_of[which])
+        sub = np.lexsort((second, rank[which]))
+        which, second = which[sub], second[sub]
+        fresh = np.ones(len(which), dtype=bool)
+        fresh[1:] = (rank[which][1:] != rank[which][:-1]) | (second[1:] != second[:-1])
+        order[places] = which
+        new[places] = fresh
+        rank[which] = np.maximum.accumulate(np.where(fresh, places, 0))
         width *= 2
     # Transform, and from it the step back: rank r of a suffix -> rank of the suffix one symbol shorter.
     transform = symbol[order - 1]
-    back = np.argsort(transform, kind="stable")
+    back = np.argsort(transform, kind="stable").astype(np.int32)
     first = symbol[order]
     edge = np.ones(n, dtype=bool)
     edge[1:] = first[1:] != first[:-1]
     letter_edge = edge.copy()
     for _ in range(minimum - 1):
-        interval = np.cumsum(edge)  # of each suffix, for the length reached
+        interval = np.cumsum(edge, dtype=np.int32)  # of each suffix, for the length reached
         stepped = interval[back]
         edge = letter_edge.copy()
         edge[1:] |= stepped[1:] != stepped[:-1]
@@ -162,33 +167,37 @@ def common_prefixes(texts: list[bytes], minimum: int) -> tuple[np.ndarray, np.nd
     return text_of[at], at - start[text_of[at]], group[at]
 
 
-def smallest_ids(contexts: list[bytes], anchors: np.ndarray, ids: np.ndarray, minimum: int) -> list[np.ndarray]:
-    """Of each context, the smallest id with the same string for each window; equal contexts count once."""
+def smallest_ids(contexts: list[bytes], anchors: np.ndarray, ids: np.ndarray, minimum: int) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest id with the same string for each window of each context, all in a row, and windows of each context."""
     known: dict[bytes, int] = {}
     which = np.fromiter((known.setdefault(c, len(known)) for c in contexts), dtype=np.int64, count=len(contexts))
     texts = list(known)
     own = np.full(len(texts), B.NO_ID, dtype=np.int64)
     np.minimum.at(own, which, ids)
-    anchor = np.zeros(len(texts), dtype=np.uint64)
+    anchor = np.zeros(len(texts), dtype=anchors.dtype)
     anchor[which] = anchors
-    out = [np.full(len(t) - minimum + 1, i) for t, i in zip(texts, own.tolist(), strict=True)]
+    size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) - minimum + 1
+    begin = np.cumsum(size) - size
+    least = np.repeat(own, size)
     _, back, count = np.unique(anchor, return_inverse=True, return_counts=True)
     mixed = np.flatnonzero(count[back] > 1)  # an anchor with one context has no other string to meet
     if len(mixed):
         text, place, group = common_prefixes([texts[i] for i in mixed.tolist()], minimum)
-        least = np.full(int(group.max()) + 1, B.NO_ID, dtype=np.int64)
-        np.minimum.at(least, group, own[mixed[text]])
-        value = least[group]
-        cuts = np.flatnonzero(np.diff(text)) + 1
-        for i, v in zip(mixed.tolist(), np.split(value, cuts), strict=True):
-            out[i] = v
-    return [out[i] for i in which.tolist()]
+        smallest = np.full(int(group.max()) + 1, B.NO_ID, dtype=np.int64)
+        np.minimum.at(smallest, group, own[mixed[text]])
+        least[begin[mixed[text]] + place] = smallest[group]
+    return least[_stretches(begin[which], size[which])], size[which]
+
+
+def _stretches(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin, begin + 1 .. for `size` places, for each of them in turn."""
+    return np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)
 
 
 def remove_repeats(df: DataFrame, minimum: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row."""
-    if minimum < ANCHOR:
-        raise ValueError(f"minimum must be at least {ANCHOR}")
+    if not ANCHOR <= minimum <= 200:
+        raise ValueError(f"minimum must be {ANCHOR} to 200")  # the size of a context is sent as one byte
 
     def first(block: int, docs: pa.Table, n: int) -> pa.Table:
         return B.offer_hashes(_Block(docs, minimum).once, block, n)
@@ -199,27 +208,24 @@ def remove_repeats(df: DataFrame, minimum: int = 50, key: str = "doc_id", text:
         rows = []
         for b, p in B.deal(own.anchor_of, n):
             texts = [own.contexts[i] for i in p.tolist()]
-            rows.append((b, block, [b"".join(texts), np.array([len(t) for t in texts], dtype=np.uint8).tobytes(), own.anchor_of[p].tobytes(), own.id_of[p].tobytes()]))
+            size = np.array([len(t) for t in texts], dtype=np.uint8)
+            rows.append((b, block, [B.packed(b"".join(texts)), size.tobytes(), own.anchor_of[p].astype(np.uint32).tobytes(), B.packed(np.diff(own.id_of[p], prepend=0).tobytes())]))
         return B.offers(rows)
 
     def answer(key: tuple, table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         contexts, anchors, ids, counts = [], [], [], []
         for r in rows:
-            size = np.frombuffer(r["p1"], dtype=np.uint8).tolist()
-            at = 0
-            for k in size:
-                contexts.append(r["p0"][at : at + k])
+            text, at = B.unpacked(r["p0"]), 0
+            for k in r["p1"]:
+                contexts.append(text[at : at + k])
                 at += k
-            counts.append(len(size))
-            anchors.append(np.frombuffer(r["p2"], dtype=np.uint64))
-            ids.append(np.frombuffer(r["p3"], dtype=np.int64))
-        least = smallest_ids(contexts, np.concatenate(anchors), np.concatenate(ids), minimum)
-        out, at = [], 0
-        for r, k in zip(rows, counts, strict=True):
-            out.append((r["block"], 2, r["bucket"], np.concatenate(least[at : at + k]).tobytes()))
-            at += k
-        return B.replies(out)
+            counts.append(len(r["p1"]))
+            anchors.append(np.frombuffer(r["p2"], dtype=np.uint32))
+            ids.append(np.cumsum(np.frombuffer(B.unpacked(r["p3"]), dtype=np.int64)))
+        least, size = smallest_ids(contexts, np.concatenate(anchors), np.concatenate(ids), minimum)
+        cuts = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(counts))]
+        return B.replies([(r["block"], 2, r["bucket"], B.packed(least[a:b].tobytes())) for r, a, b in zip(rows, cuts[:-1], cuts[1:], strict=True)])
 
     def last(block: int, docs: pa.Table, replies: pa.Table, n: int) -> pa.Table:
         own = _Block(docs, minimum)
@@ -229,16 +235,12 @@ def remove_repeats(df: DataFrame, minimum: int = 50, key: str = "doc_id", text:
         least = np.empty(int(size.sum()), dtype=np.int64)
         answers = B.reply_of(replies, 2)
         for b, p in B.deal(own.anchor_of, n):
-            total = int(size[p].sum())
-            to = np.repeat(begin[p] - (np.cumsum(size[p]) - size[p]), size[p]) + np.arange(total)
-            least[to] = np.frombuffer(answers[b], dtype=np.int64)
+            least[_stretches(begin[p], size[p])] = np.frombuffer(B.unpacked(answers[b]), dtype=np.int64)
         rows = []
         for s, r, (picked, which) in zip(own.slices, own.runs, own.used, strict=True):
             many = size[which]
-            total = int(many.sum())
-            step = np.arange(total) - np.repeat(np.cumsum(many) - many, many)
-            smaller = least[np.repeat(begin[which], many) + step] < np.repeat(s.ids[r.doc[picked]], many)
-            hit = (np.repeat(r.begin[picked], many) + step)[smaller]
+            smaller = least[_stretches(begin[which], many)] < np.repeat(s.ids[r.doc[picked]], many)
+            hit = _stretches(r.begin[picked], many)[smaller]
             edge = np.zeros(len(s.data) + 1, dtype=np.int64)
             edge[hit] += 1
             np.subtract.at(edge, hit + minimum, 1)
