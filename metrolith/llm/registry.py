@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,6 +79,7 @@ def queries() -> dict:
         "op8_byte_bpe": op8_byte_bpe,
         "op9_pii": op9_pii,
         "op10_url_filters": op10_url_filters,
+        "pipeline": corpus_pipeline.run,
     }
 
 
