@@ -1,9 +1,432 @@
 """Queries over the driver's tables by name, and their SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from metrolith.functions import durations as D
+from metrolith.functions import notes as N
+from metrolith.functions import quantize as Q
+from metrolith.operators import augment, constraints, decode, lookup, matching, metrics, parse, render, segments, split, windows
+from metrolith.plans import tables as T
+from metrolith.plans.tables import FRAMES, NOTES, USES, crowded_sql, table, token_sql
+
+TEN = windows.Windows(stride=10.0)
+_text = lambda c: F.array_join(c, " ")
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def put(function):
+        QUERIES[name] = function
+        if sql:
+            SQL[name] = sql
+        return function
+
+    return put
+
+
+# Quantising and encoding
+
+
+@query("quantize_token", f"SELECT event_id, {token_sql('(value - 5) / 10.0')} AS token FROM events")
+def quantize_token(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", Q.time_token((F.col("value") - 5) / 10.0).alias("token"))
+
+
+@query("token_seconds", f"SELECT event_id, (t - 5) / 100.0::DOUBLE AS seconds FROM (SELECT event_id, {token_sql('value / 10.0')} AS t FROM events)")
+def token_seconds(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", Q.token_time(Q.time_token(F.col("value") / 10.0)).alias("seconds"))
+
+
+@query("encode_notes", f"WITH {NOTES} SELECT event_id, array_to_string(body, ' ') AS tokens FROM notes")
+def encode_notes(spark: SparkSession, d: str) -> DataFrame:
+    return T.notes(spark, d).select("event_id", _text(N.note_tokens(F.col("note"))).alias("tokens"))
+
+
+@query("fit_tokens", f"WITH {NOTES} SELECT event_id, array_to_string(body[1:5] || list_transform(range(greatest(0, 5 - len(body))), lambda x: 0), ' ') AS tokens, least(5, len(body)) AS real FROM notes")
+def fit_tokens(spark: SparkSession, d: str) -> DataFrame:
+    fitted = T.notes(spark, d).select("event_id", Q.fit(N.note_tokens(F.col("note")), 5).alias("t"))
+    return fitted.select("event_id", _text("t").alias("tokens"), F.size(Q.without_padding(F.col("t"))).cast("long").alias("real"))
+
+
+@query("frame_times", f"WITH {FRAMES} SELECT chart, time_sec, array_to_string([3, {token_sql('time_sec % 30')}] || body || [4], ' ') AS tokens FROM frames")
+def frame_times(spark: SparkSession, d: str) -> DataFrame:
+    return T.frames(spark, d).select("chart", "time_sec", _text(N.frame_tokens(F.col("time_sec") % 30, F.col("notes"))).alias("tokens"))
+
+
+@query("decode_frames", f"""WITH {NOTES} SELECT event_id,
+    CASE kind WHEN 'click' THEN 'TAP' WHEN 'view' THEN 'HOLD' WHEN 'purchase' THEN 'TOUCH' WHEN 'signup' THEN CASE WHEN {token_sql('value / 100.0')} > 5 THEN 'TOUCH_HOLD' ELSE 'TOUCH' END ELSE 'SLIDE' END AS type,
+    CAST(CASE WHEN kind IN ('click', 'view') THEN event_id % 8 + 1 END AS INTEGER) AS lane, CASE WHEN kind IN ('view', 'signup') THEN {token_sql('value / 100.0')} - 5 END AS hold_cs,
+    CASE WHEN kind IN ('purchase', 'signup') THEN event_id % 2 = 0 END AS firework, kind NOT IN ('purchase', 'signup') AND event_id % 3 = 0 AS is_break, CASE WHEN kind = 'error' THEN event_id % 4 = 0 END AS no_head
+    FROM notes""")
+def decode_frames(spark: SparkSession, d: str) -> DataFrame:
+    coded = T.notes(spark, d).select("event_id", N.frame_tokens(F.lit(1.5), F.array("note")).alias("tokens"))
+    note = F.col("frames")[0]["notes"][0]
+    n = decode.tolerant(coded).select("event_id", note.alias("n"))
+    return n.select("event_id", "n.type", "n.lane", Q.centiseconds(F.col("n.hold_sec")).cast("int").alias("hold_cs"), "n.firework", "n.is_break", F.col("n.segments")[0]["no_head"].alias("no_head"))
+
+
+@query("time_of_each_token", f"""WITH {NOTES}, coded AS (SELECT event_id, [3, 155] || body || [4] AS t FROM notes), each AS (SELECT event_id, unnest(t) AS token, generate_subscripts(t, 1) AS place FROM coded)
+    SELECT event_id, place - 1 AS place, last_value(CASE WHEN token BETWEEN 5 AND 3004 THEN token END IGNORE NULLS) OVER (PARTITION BY event_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS slot FROM each""")
+def time_of_each_token(spark: SparkSession, d: str) -> DataFrame:
+    coded = T.notes(spark, d).select("event_id", N.frame_tokens(F.lit(1.5), F.array("note")).alias("tokens"))
+    return coded.select("event_id", F.posexplode(Q.time_of_each(F.col("tokens"))).alias("place", "slot")).select("event_id", F.col("place").cast("long").alias("place"), "slot")
+
+
+@query("rotate8", f"""WITH {NOTES}, turns AS (SELECT unnest(range(8)) AS steps)
+    SELECT event_id, CAST(steps AS INTEGER) AS steps, array_to_string(list_transform(body, lambda t: CASE WHEN t BETWEEN 3005 AND 3012 THEN 3005 + (t - 3005 + steps) % 8 WHEN t BETWEEN 3013 AND 3020 THEN 3013 + (t - 3013 + steps) % 8
+      WHEN t BETWEEN 3021 AND 3028 THEN 3021 + (t - 3021 + steps) % 8 WHEN t BETWEEN 3030 AND 3037 THEN 3030 + (t - 3030 + steps) % 8 WHEN t BETWEEN 3038 AND 3045 THEN 3038 + (t - 3038 + steps) % 8 ELSE t END), ' ') AS tokens FROM notes, turns""")
+def rotate8(spark: SparkSession, d: str) -> DataFrame:
+    coded = T.notes(spark, d).select("event_id", N.note_tokens(F.col("note")).alias("tokens"))
+    return augment.rotations(coded).select("event_id", "steps", _text("tokens").alias("tokens"))
+
+
+# Windows
+
+_MEMBERS = f"""{FRAMES}, near AS (SELECT chart, time_sec, body, unnest(generate_series(CAST(greatest(0, floor((time_sec - 10.01) / 10)) AS BIGINT), CAST(floor((time_sec + 6.01) / 10) AS BIGINT))) AS k FROM frames),
+  placed AS (SELECT *, CAST(round_even((time_sec - (k * 10.0::DOUBLE - 12)) * 100, 0) AS BIGINT) AS rel_cs FROM near),
+  members AS (SELECT *, CASE WHEN rel_cs < 1200 THEN 'prefix' ELSE 'target' END AS part FROM placed WHERE rel_cs >= 600 AND rel_cs < 2200)"""
+
+
+@query("window_members", f"WITH {_MEMBERS} SELECT chart, time_sec, k, rel_cs, part FROM members")
+def window_members(spark: SparkSession, d: str) -> DataFrame:
+    return windows.members(T.frames(spark, d).select("chart", "time_sec"), TEN).select("chart", "time_sec", "k", "rel_cs", "part")
+
+
+@query("window_index", f"""WITH {_MEMBERS}, coded AS (SELECT chart, k, time_sec, part, [3, {token_sql('rel_cs / 100.0')}] || body || [4] AS t FROM members),
+  held AS (SELECT chart, k, flatten(list(t ORDER BY time_sec)) AS t, sum(CASE WHEN part = 'prefix' THEN len(t) ELSE 0 END) AS before FROM coded GROUP BY chart, k),
+  spine AS (SELECT chart, k FROM (SELECT DISTINCT user_id AS chart FROM events), (SELECT unnest(generate_series(0, 259)) AS k)),
+  placed_spine AS (SELECT chart, k, k * 10.0::DOUBLE - 12 AS window_start, CAST(round_even((k * 10.0::DOUBLE - 12) * 75, 0) AS BIGINT) AS a FROM spine)
+  SELECT s.chart, s.k, window_start, greatest(0, a) AS source_start, greatest(greatest(0, a), least({T.SONG_FRAMES}, a + 2612)) AS source_end, greatest(0, a) - a AS left_pad,
+    array_to_string([1] || coalesce(t, []) || [2], ' ') AS tokens, CAST(1 + coalesce(before, 0) AS INTEGER) AS loss_start FROM placed_spine s LEFT JOIN held USING (chart, k)""")
+def window_index(spark: SparkSession, d: str) -> DataFrame:
+    made = windows.index(T.frames(spark, d).select("chart", "time_sec", "notes"), T.songs(spark, d), TEN)
+    return made.select("chart", "k", "window_start", "source_start", "source_end", "left_pad", _text("tokens").alias("tokens"), "loss_start")
+
+
+@query("supervision", f"""WITH {_MEMBERS}, held AS (SELECT chart, k, sum(CASE WHEN part = 'target' THEN len(body) + 3 ELSE 0 END) AS own, count(*) FILTER (part = 'target') AS targets, count(*) AS frames FROM members GROUP BY chart, k),
+  n AS (SELECT count(DISTINCT user_id) * 260 AS windows FROM events), s AS (SELECT CAST(sum(own) AS BIGINT) AS own, CAST(sum(targets) AS BIGINT) AS targets, count(*) FILTER (targets > 0) AS t1, count(*) FILTER (frames > targets) AS p1, count(*) FILTER (frames > 0) AS f1 FROM held)
+  SELECT own + windows AS supervised, windows AS end_targets, targets + p1 AS after_frame_end, round(100.0::DOUBLE * windows / (own + windows), 9) AS end_share FROM s, n""")
+def supervision(spark: SparkSession, d: str) -> DataFrame:
+    made = windows.index(T.frames(spark, d).select("chart", "time_sec", "notes"), T.songs(spark, d), TEN)
+    return metrics.supervision(made).select("supervised", F.col("end_targets").cast("long").alias("end_targets"), "after_frame_end", F.round("end_share", 9).alias("end_share"))
+
+
+@query("window_features", """WITH w AS (SELECT vec_id, unnest([-2, 0, 3]) AS start, embedding AS e FROM embeddings)
+  SELECT vec_id, start, greatest(0, -start) AS left_pad, round(list_sum(list_transform(e[greatest(0, start) + 1 : greatest(greatest(0, start), least(len(e), start + 8))], lambda x: CAST(x AS DOUBLE))), 6) AS total, 8 - greatest(0, -start) AS valid FROM w""")
+def window_features(spark: SparkSession, d: str) -> DataFrame:
+    w = windows.Windows(features=8, hz=1)
+    v = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.array(x)).alias("f"), F.explode(F.array(*[F.lit(x) for x in (-2, 0, 3)])).alias("start"))
+    r = v.withColumns(windows.feature_range(F.col("start").cast("double"), F.size("f"), w))
+    r = r.withColumns(windows.window_features(F.col("f"), F.col("left_pad"), F.col("source_start"), F.col("source_end"), w))
+    total = F.aggregate(F.flatten("features"), F.lit(0.0), lambda s, x: s + x)
+    return r.select("vec_id", "start", "left_pad", F.round(total, 6).alias("total"), F.size(F.filter("mask", lambda m: m)).cast("long").alias("valid"))
+
+
+@query("segment_by_span", f"""WITH RECURSIVE {FRAMES}, spans AS (SELECT n.chart, n.time_sec, max(n.time_sec + CASE WHEN kind IN ('view', 'signup') THEN value / 100.0 WHEN kind = 'error' THEN 0.5 + value / 100.0 ELSE 0 END) AS until FROM notes n GROUP BY n.chart, n.time_sec),
+  one AS (SELECT *, row_number() OVER (PARTITION BY chart ORDER BY time_sec) AS i FROM spans),
+  fold AS (SELECT chart, i, time_sec, 0.0::DOUBLE AS off, until AS mx, 0 AS segment FROM one WHERE i = 1
+    UNION ALL SELECT o.chart, o.i, o.time_sec, CASE WHEN greatest(f.mx, o.until) - f.off > 30 THEN o.time_sec ELSE f.off END, CASE WHEN greatest(f.mx, o.until) - f.off > 30 THEN o.until ELSE greatest(f.mx, o.until) END, f.segment + CAST(greatest(f.mx, o.until) - f.off > 30 AS INTEGER)
+    FROM fold f JOIN one o ON o.chart = f.chart AND o.i = f.i + 1)
+  SELECT chart, segment, off AS offset_sec, array_to_string([1] || flatten(list([3, {token_sql('(time_sec - off)')}] || body || [4] ORDER BY time_sec)) || [2], ' ') AS tokens FROM fold JOIN frames USING (chart, time_sec) GROUP BY chart, segment, off""")
+def segment_by_span(spark: SparkSession, d: str) -> DataFrame:
+    return segments.cut(T.frames(spark, d), ("chart",)).select("chart", "segment", "offset_sec", _text("tokens").alias("tokens"))
+
+
+# Constraints
+
+
+@query("crowded_uses", f"WITH {crowded_sql(2_000, 1_500)} SELECT chart, cs, what, CAST(count(*) AS BIGINT) AS n FROM crowded GROUP BY chart, cs, what")
+def crowded_uses(spark: SparkSession, d: str) -> DataFrame:
+    """With long rests, as the events are far apart."""
+    found = constraints.crowded(constraints.uses(T.frames(spark, d), ("chart",)), ("chart",), 2_000, 1_500)
+    return found.groupBy("chart", "cs", F.col("kind").alias("what")).agg(F.count("*").alias("n"))
+
+
+_BAD = "SELECT chart FROM crowded UNION SELECT chart FROM notes WHERE kind IN ('view', 'signup') AND round_even(value / 100.0 * 100, 0) < 1"
+
+
+@query("accepted_charts", f"WITH {crowded_sql(5, 3)} SELECT chart, count(DISTINCT time_sec) AS frames FROM notes WHERE chart NOT IN ({_BAD}) GROUP BY chart")
+def accepted_charts(spark: SparkSession, d: str) -> DataFrame:
+    return constraints.accepted(T.frames(spark, d), ("chart",)).groupBy("chart").agg(F.count("*").alias("frames"))
+
+
+@query("rejected_charts", f"WITH {crowded_sql(5, 3)} SELECT DISTINCT chart FROM ({_BAD})")
+def rejected_charts(spark: SparkSession, d: str) -> DataFrame:
+    return constraints.violations(T.frames(spark, d), ("chart",)).select("chart").distinct()
+
+
+@query("violations")
+def violations(spark: SparkSession, d: str) -> DataFrame:
+    return constraints.violations(T.frames(spark, d), ("chart",))
+
+
+@query("duplicate_at_instant", "SELECT l_orderkey, l_linenumber, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def duplicate_at_instant(spark: SparkSession, d: str) -> DataFrame:
+    """The line number stands for the instant, the flag for the spot."""
+    used = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("cs"), F.lit("touch").alias("kind"), F.col("l_returnflag").alias("spot"), F.lit(None).cast("long").alias("until_cs"))
+    found = constraints.crowded(used, ("l_orderkey",))
+    return found.groupBy("l_orderkey", F.col("cs").cast("int").alias("l_linenumber"), F.col("spot").alias("l_returnflag")).agg(F.count("*").alias("n"))
+
+
+@query("dense_burst", f"WITH {NOTES}, p AS (SELECT chart, event_id, CAST(round_even(time_sec * 100, 0) AS BIGINT) AS cs FROM notes) SELECT * FROM (SELECT chart, event_id, cs, count(*) OVER (PARTITION BY chart ORDER BY cs RANGE BETWEEN 6000 PRECEDING AND CURRENT ROW) AS within FROM p) WHERE within >= 4")
+def dense_burst(spark: SparkSession, d: str) -> DataFrame:
+    p = T.notes(spark, d).select("chart", "event_id", Q.centiseconds(F.col("time_sec")).alias("cs"))
+    return constraints.dense(p, ("chart",), 6000, 4)
+
+
+@query("audit", f"""WITH {USES}, p AS (SELECT * FROM uses WHERE what = 'press'), g AS (SELECT chart, cs - lag(cs) OVER (PARTITION BY chart, spot ORDER BY cs) AS gap FROM p), h AS (SELECT chart, until_cs - cs AS len FROM uses WHERE until_cs IS NOT NULL),
+  w AS (SELECT chart, count(*) OVER (PARTITION BY chart ORDER BY cs RANGE BETWEEN 24 PRECEDING AND CURRENT ROW) AS a, count(*) OVER (PARTITION BY chart ORDER BY cs RANGE BETWEEN 49 PRECEDING AND CURRENT ROW) AS b FROM p),
+  f AS (SELECT chart, 'near gap' AS reason FROM g WHERE gap BETWEEN 3 AND 5 UNION ALL SELECT chart, 'short hold' FROM h WHERE len < 5 UNION ALL SELECT chart, 'long hold' FROM h WHERE len > 1000 UNION ALL SELECT chart, 'five in 250 ms' FROM w WHERE a >= 5 UNION ALL SELECT chart, 'nine in 500 ms' FROM w WHERE b >= 9)
+  SELECT chart, reason, count(*) AS n FROM f GROUP BY chart, reason""")
+def audit(spark: SparkSession, d: str) -> DataFrame:
+    return constraints.audit(T.frames(spark, d), ("chart",))
+
+
+# Notation
+
+#: A user's events as text: tempo every third slot, pauses, and holds with four kinds of length.
+_SLOT = "CASE WHEN event_id % 3 = 0 THEN '(' || CASE WHEN event_id % 2 = 0 THEN '60' ELSE '120' END || '){' || CAST(CAST(pow(2, event_id % 5) AS INTEGER) AS VARCHAR) || '}' ELSE '' END"
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("event_id")
+    tempo = F.when(i % 3 == 0, F.concat(F.lit("("), F.when(i % 2 == 0, "60").otherwise("120"), F.lit("){"), F.pow(F.lit(2), i % 5).cast("int").cast("string"), F.lit("}"))).otherwise("")
+    lane = (i % 8 + 1).cast("string")
+    length = F.when(i % 4 == 0, "[8:3]").when(i % 4 == 1, "[#0.5]").when(i % 4 == 2, "[60#4:1]").otherwise("[1##2:1]")
+    note = F.when(i % 7 == 0, "").when(i % 2 == 0, F.concat(lane, F.lit("h"), length)).otherwise(F.concat(lane, F.lit("b")))
+    slots = table(spark, d, "events").select("user_id", "event_id", F.concat(tempo, note).alias("slot"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "slot"))), lambda s: s["slot"]), ",\n")
+    return slots.groupBy(F.col("user_id").alias("chart")).agg(F.concat(F.lit("&title=a\n&lv_5=13+\n&inote_5=\n"), body, F.lit(",\nE\n")).alias("text"))
+
+
+_CLOCK = """s AS (SELECT user_id AS chart, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS slot,
+    CASE WHEN event_id % 3 = 0 THEN CASE WHEN event_id % 2 = 0 THEN 60.0::DOUBLE ELSE 120.0::DOUBLE END END AS b, CASE WHEN event_id % 3 = 0 THEN pow(2, event_id % 5) END AS v FROM events),
+  c AS (SELECT *, coalesce(last_value(b IGNORE NULLS) OVER w, 0) AS bpm, coalesce(240.0::DOUBLE / last_value(b IGNORE NULLS) OVER w / last_value(v IGNORE NULLS) OVER w, 1) AS len FROM s WINDOW w AS (PARTITION BY chart ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+  t AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY chart ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS time_sec FROM c)"""
+
+
+@query("running_clock", f"WITH {_CLOCK} SELECT chart, CAST(slot AS INTEGER) AS slot, bpm, len AS comma_sec, time_sec FROM t")
+def running_clock(spark: SparkSession, d: str) -> DataFrame:
+    return parse.clock(parse.slots(parse.levels(_texts(spark, d)))).where("raw <> '' or slot >= 0").select("chart", "slot", "bpm", "comma_sec", "time_sec").join(_slot_counts(spark, d), "chart").where("slot < n").drop("n")
+
+
+def _slot_counts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").groupBy(F.col("user_id").alias("chart")).agg(F.count("*").alias("n"))
+
+
+@query("parse_notation", f"""WITH {_CLOCK} SELECT chart, time_sec, CASE WHEN event_id % 2 = 0 THEN 'HOLD' ELSE 'TAP' END AS type, CAST(event_id % 8 + 1 AS INTEGER) AS lane, event_id % 2 = 1 AS is_break,
+    CASE WHEN event_id % 2 = 1 THEN NULL WHEN event_id % 4 = 0 THEN CASE WHEN bpm > 0 THEN 240.0::DOUBLE / bpm / 8 * 3 ELSE 0 END ELSE 1.0 END AS hold_sec FROM t WHERE event_id % 7 <> 0""")
+def parse_notation(spark: SparkSession, d: str) -> DataFrame:
+    frames = parse.parse(_texts(spark, d)).frames
+    return frames.select("chart", "time_sec", F.explode("notes").alias("n")).select("chart", "time_sec", "n.type", "n.lane", "n.is_break", "n.hold_sec")
+
+
+@query("render_parse_roundtrip", f"""WITH {FRAMES}, s AS (SELECT chart, time_sec, CAST(greatest(0, round_even(time_sec / 0.02, 0)) AS BIGINT) AS slot FROM frames),
+  g AS (SELECT *, greatest(0, slot - coalesce(lag(slot) OVER (PARTITION BY chart ORDER BY time_sec) + 1, 0)) AS gap FROM s), p AS (SELECT *, sum(gap) OVER w + row_number() OVER w - 1 AS pos FROM g WINDOW w AS (PARTITION BY chart ORDER BY time_sec))
+  SELECT chart, CAST(pos AS BIGINT) AS pos, CASE kind WHEN 'click' THEN 'TAP' WHEN 'view' THEN 'HOLD' WHEN 'purchase' THEN 'TOUCH' WHEN 'signup' THEN 'TOUCH_HOLD' ELSE 'SLIDE' END AS type, CAST(event_id % 8 + 1 AS INTEGER) AS lane, kind NOT IN ('purchase', 'signup') AND event_id % 3 = 0 AS is_break,
+    kind NOT IN ('purchase', 'signup') AND event_id % 5 = 0 AS is_ex FROM p JOIN notes USING (chart, time_sec) WHERE kind NOT IN ('purchase', 'signup')""")
+def render_parse_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    bodies = render.bodies(T.frames(spark, d)).select("chart", F.concat(F.lit("&inote_5=\n"), F.col("body")).alias("text"))
+    n = parse.parse(bodies).frames.select("chart", F.rint(F.col("time_sec") / render.COMMA).cast("long").alias("pos"), F.explode("notes").alias("n")).where("n.area is null")
+    return n.select("chart", "pos", "n.type", F.coalesce("n.lane", F.col("n.segments")[0]["start_lane"]).alias("lane"), "n.is_break", "n.is_ex")
+
+
+@query("notation_durations", """WITH b AS (SELECT event_id, value / 100.0 * 12000.0 / 240.0 AS beats FROM events), f AS (SELECT *, list_filter([1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 1280], lambda d: round_even(beats * d, 0) > 0 AND abs(beats * d - round_even(beats * d, 0)) / greatest(round_even(beats * d, 0), 1) < 0.02) AS fits FROM b)
+  SELECT event_id, fits[1] || ':' || CAST(round_even(beats * fits[1], 0) AS BIGINT) AS text FROM f WHERE len(fits) > 0""")
+def notation_durations(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", D.fraction(F.col("value") / 100.0 * 12000.0 / 240.0).alias("text")).where("text is not null")
+
+
+@query("slide_brackets", """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 2.0 WHEN 1 THEN 240.0 / 160 WHEN 2 THEN 240.0 / 160 WHEN 3 THEN 3.0 ELSE 3.0 END::DOUBLE AS wait, CASE event_id % 5 WHEN 0 THEN 240.0::DOUBLE / 120 / 8 * 3 WHEN 1 THEN 240.0::DOUBLE / 160 / 8 * 3 WHEN 2 THEN 2.0 WHEN 3 THEN 240.0::DOUBLE / 120 / 1.5 ELSE 240.0::DOUBLE / 160 / 8 * 3 END AS trace FROM events""")
+def slide_brackets(spark: SparkSession, d: str) -> DataFrame:
+    forms = F.array(*[F.lit(x) for x in ("8:3", "160#8:3", "160#2", "3##1.5", "3##160#8:3")])
+    return table(spark, d, "events").select("event_id", D.slide_times(F.get(forms, (F.col("event_id") % 5).cast("int")), F.lit(120.0)).alias("t")).select("event_id", "t.wait", "t.trace")
+
+
+@query("level_values", """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 13.0 WHEN 1 THEN 13.5 WHEN 3 THEN 7.5 END::DOUBLE AS value FROM customer""")
+def level_values(spark: SparkSession, d: str) -> DataFrame:
+    names = F.array(*[F.lit(x) for x in ("13", "13+", "?", "7.5")])
+    return table(spark, d, "customer").select("c_custkey", parse.level_value(F.get(names, (F.col("c_custkey") % 4).cast("int"))).alias("value"))
+
+
+# Matching and metrics
+
+
+def _predicted(spark: SparkSession, d: str) -> DataFrame:
+    """Three quarters of the events, some at once, some a little late, some too late."""
+    shift = F.when(F.col("event_id") % 4 == 0, 0.004).when(F.col("event_id") % 4 == 1, 0.02).otherwise(0.0)
+    made = T.notes(spark, d).where("event_id % 4 <> 3")
+    return made.select("chart", (F.col("time_sec") + shift).alias("time_sec"), F.col("note.type").alias("key"))
+
+
+_MATCH = """p AS (SELECT chart, kind, time_sec + CASE event_id % 4 WHEN 0 THEN 0.004 WHEN 1 THEN 0.02 ELSE 0.0 END AS t FROM notes WHERE event_id % 4 <> 3),
+  hit AS (SELECT chart, count(*) AS tp FROM p WHERE EXISTS (SELECT 1 FROM notes n WHERE n.chart = p.chart AND n.kind = p.kind AND abs(n.time_sec - p.t) <= 0.01 + 1e-9) GROUP BY chart),
+  m AS (SELECT chart, coalesce(tp, 0) AS tp, n_predicted, n_true FROM (SELECT chart, count(*) AS n_true, count(*) FILTER (event_id % 4 <> 3) AS n_predicted FROM notes GROUP BY chart) LEFT JOIN hit USING (chart))"""
+
+
+@query("match_counts", f"WITH {NOTES}, {_MATCH} SELECT * FROM m")
+def match_counts(spark: SparkSession, d: str) -> DataFrame:
+    truth = T.notes(spark, d).select("chart", "time_sec", F.col("note.type").alias("key"))
+    return matching.counts(_predicted(spark, d), truth)
+
+
+@query("micro_scores", f"WITH {NOTES}, {_MATCH}, s AS (SELECT CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(n_predicted) AS BIGINT) AS n_predicted, CAST(sum(n_true) AS BIGINT) AS n_true FROM m) SELECT tp, n_predicted, n_true, round(tp / n_predicted * 100, 9) AS prec, round(tp / n_true * 100, 9) AS rec FROM s")
+def micro_scores(spark: SparkSession, d: str) -> DataFrame:
+    s = matching.scores(match_counts(spark, d))
+    return s.select("tp", "n_predicted", "n_true", F.round("precision", 9).alias("prec"), F.round("recall", 9).alias("rec"))
+
+
+@query("match_keys", f"""WITH {NOTES} SELECT event_id, CASE kind WHEN 'click' THEN 'TAP:' WHEN 'purchase' THEN 'TOUCH:' WHEN 'view' THEN 'HOLD:' || CAST(round_even(value / 100.0 * 100, 0) AS BIGINT) WHEN 'signup' THEN 'TOUCH_HOLD:' || CAST(round_even(value / 100.0 * 100, 0) AS BIGINT)
+   ELSE 'SLIDE:Line/50/' || CAST(round_even(value / 100.0 * 100, 0) AS BIGINT) || '/-/0/0/' || CASE WHEN event_id % 4 = 0 THEN '1' ELSE '0' END END AS key FROM notes""")
+def match_keys(spark: SparkSession, d: str) -> DataFrame:
+    return T.notes(spark, d).select("event_id", N.match_key(F.col("note")).alias("key"))
+
+
+@query("gap_histogram", f"WITH {NOTES}, g AS (SELECT CAST(floor((time_sec - lag(time_sec) OVER (PARTITION BY chart ORDER BY time_sec, event_id)) / 10) AS BIGINT) AS gap FROM notes) SELECT gap, count(*) AS n FROM g WHERE gap IS NOT NULL GROUP BY gap")
+def gap_histogram(spark: SparkSession, d: str) -> DataFrame:
+    g = metrics.gaps(T.notes(spark, d).select("chart", "event_id", "time_sec"), ("chart",), "time_sec", ("event_id",))
+    return metrics.histogram(g.select(F.floor(F.col("gap") / 10).alias("gap")), "gap")
+
+
+@query("extremes", f"""WITH {NOTES}, x AS (SELECT chart, 'wait' AS what, 0.5::DOUBLE AS v FROM notes WHERE kind = 'error' UNION ALL SELECT chart, 'trace', value / 100.0 FROM notes WHERE kind = 'error' UNION ALL SELECT chart, 'hold', value / 100.0 FROM notes WHERE kind IN ('view', 'signup')
+  UNION ALL SELECT chart, 'frame_gap_ms', round_even((time_sec - b) * 1000, 0) FROM (SELECT chart, time_sec, lag(time_sec) OVER (PARTITION BY chart ORDER BY time_sec) AS b FROM (SELECT DISTINCT chart, time_sec FROM notes)) WHERE b IS NOT NULL)
+  SELECT chart, what, min(v) AS low, max(v) AS high FROM x GROUP BY chart, what""")
+def extremes(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.extremes(T.frames(spark, d), ("chart",))
+
+
+@query("presses_in_frames", f"WITH {NOTES} SELECT CAST(presses AS INTEGER) AS presses, count(*) AS n FROM (SELECT count(*) FILTER (kind IN ('click', 'view') OR kind = 'error' AND event_id % 4 <> 0) AS presses FROM notes GROUP BY chart, time_sec) GROUP BY presses")
+def presses_in_frames(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.presses_in_frames(T.frames(spark, d))
+
+
+@query("masked_accuracy", """WITH r AS (SELECT l_linenumber % 4 AS p, CAST(l_quantity AS INTEGER) % 4 AS t, l_returnflag <> 'N' AS m, l_discount AS loss FROM lineitem) SELECT count(*) FILTER (m) AS n, round(100.0::DOUBLE * count(*) FILTER (m AND p = t) / count(*) FILTER (m), 9) AS accuracy, round(sum(CASE WHEN m THEN loss * CASE WHEN t = 2 THEN 5 ELSE 1 END END) / count(*) FILTER (m), 6) AS loss FROM r""")
+def masked_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "lineitem").select((F.col("l_linenumber") % 4).alias("p"), (F.col("l_quantity").cast("int") % 4).alias("t"), (F.col("l_returnflag") != "N").alias("m"), F.col("l_discount").alias("loss"))
+    s = metrics.masked(r, "p", "t", "m", "loss", F.when(F.col("t") == 2, 5.0).otherwise(1.0))
+    return s.select("n", F.round("accuracy", 9).alias("accuracy"), F.round("loss", 6).alias("loss"))
+
+
+@query("end_mark_ranks", """WITH e AS (SELECT vec_id, embedding AS x, list_max(embedding) AS top, embedding[3] AS own FROM embeddings) SELECT count(*) AS n, round(100.0::DOUBLE * avg(CASE WHEN list_position(x, top) = 3 THEN 1 ELSE 0 END), 6) AS accuracy, round(avg(1 + len(list_filter(x, lambda v: v > own))), 6) AS rank FROM e""")
+def end_mark_ranks(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings").select("embedding", F.lit(2).alias("t"), F.lit(True).alias("m"))
+    return metrics.end_marks(rows, "embedding", "t", "m").select("n", F.round("accuracy", 6).alias("accuracy"), F.round("rank", 6).alias("rank"))
+
+
+# Lookup, split, sampling
+
+_WEDDING = "宴会場"
+
+
+def _charts(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    names = F.get(F.array(*[F.lit(x) for x in ("13", "13.5", "13+", "13.0")]), (k % 4).cast("int"))
+    local = F.create_map(F.lit(2), (F.col("c_nationkey") % 3 + 11).cast("string"), F.lit(3), names)
+    return table(spark, d, "customer").select(k.alias("chart"), F.concat(F.lit("t"), k % 60).alias("title"), F.when(k % 5 == 0, (k % 150).cast("string")).alias("short_id"), local.alias("local_levels"))
+
+
+def _catalogue(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    levels = F.array((F.col("s_nationkey") % 3 + 11).cast("string"), F.when(k % 2 == 0, "13").otherwise("13+"))
+    return table(spark, d, "supplier").select(k.cast("string").alias("id"), F.concat(F.lit("t"), k % 40).alias("title"), levels.alias("level"), F.array(k * 1.0, F.lit(13.7).cast("double")).alias("ds"), F.struct(F.when(k % 7 == 0, _WEDDING).otherwise("pop").alias("genre")).alias("basic_info"))
+
+
+_LOOKUP = """c AS (SELECT c_custkey AS chart, 't' || c_custkey % 60 AS title, CASE WHEN c_custkey % 5 = 0 THEN CAST(c_custkey % 150 AS VARCHAR) END AS short_id, CAST(c_nationkey % 3 + 11 AS VARCHAR) AS l2, ['13', '13.5', '13+', '13.0'][c_custkey % 4 + 1] AS l3, ['13', '13+', '13+', '13'][c_custkey % 4 + 1] AS f3 FROM customer),
+  s AS (SELECT CAST(s_suppkey AS VARCHAR) AS id, 't' || s_suppkey % 40 AS title, CAST(s_nationkey % 3 + 11 AS VARCHAR) AS a, CASE WHEN s_suppkey % 2 = 0 THEN '13' ELSE '13+' END AS b, s_suppkey * 1.0::DOUBLE AS d2, CASE WHEN s_suppkey % 7 = 0 THEN '宴会場' ELSE 'pop' END AS genre FROM supplier),
+  m AS (SELECT chart, count(*) FILTER (l2 = a AND l3 = b) AS n1, min(id) FILTER (l2 = a AND l3 = b) AS i1, count(*) FILTER (l2 = a AND f3 = b) AS n2, min(id) FILTER (l2 = a AND f3 = b) AS i2 FROM c JOIN s USING (title) GROUP BY chart),
+  found AS (SELECT c.chart, coalesce(o.id, CASE WHEN n1 = 1 THEN i1 END, CASE WHEN n2 = 1 THEN i2 END) AS song_id FROM c LEFT JOIN s o ON c.short_id = o.id LEFT JOIN m ON m.chart = c.chart)"""
+
+
+@query("lookup_fallback", f"WITH {_LOOKUP} SELECT chart, song_id FROM found")
+def lookup_fallback(spark: SparkSession, d: str) -> DataFrame:
+    return lookup.match(_charts(spark, d), _catalogue(spark, d)).select("chart", "song_id")
+
+
+@query("exclude_genre", f"WITH {_LOOKUP} SELECT chart FROM found LEFT JOIN s ON s.id = song_id WHERE coalesce(genre <> '宴会場', true)")
+def exclude_genre(spark: SparkSession, d: str) -> DataFrame:
+    return lookup.without_genre(lookup.match(_charts(spark, d), _catalogue(spark, d)), _WEDDING).select("chart")
+
+
+@query("level_override", f"WITH {_LOOKUP} SELECT chart, level, CASE WHEN level = 2 AND song_id IS NOT NULL THEN d2 WHEN level = 3 AND song_id IS NOT NULL THEN 13.7 ELSE 1.5 END AS level_query FROM found LEFT JOIN s ON s.id = song_id, (SELECT unnest([1, 2, 3, 4]) AS level)")
+def level_override(spark: SparkSession, d: str) -> DataFrame:
+    charts = _charts(spark, d)
+    levels = charts.select("chart", F.explode(F.array(*[F.lit(x) for x in (1, 2, 3, 4)])).alias("level")).withColumn("level_query", F.lit(1.5).cast("double"))
+    return lookup.level_values(levels, lookup.match(charts, _catalogue(spark, d))).select("chart", "level", "level_query")
+
+
+@query("split_groupwise", """WITH g AS (SELECT user_id, row_number() OVER (ORDER BY md5('42:' || user_id), user_id) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT user_id FROM events)), v AS (SELECT user_id, r <= greatest(1, CAST(floor(n * 0.15) AS BIGINT)) AS val FROM g)
+  SELECT user_id, CASE WHEN val THEN 'validation' ELSE 'train' END AS side, count(*) AS n FROM events JOIN v USING (user_id) GROUP BY ALL""")
+def split_groupwise(spark: SparkSession, d: str) -> DataFrame:
+    train, validation = split.by_group(table(spark, d, "events"), "user_id")
+    both = train.withColumn("side", F.lit("train")).unionByName(validation.withColumn("side", F.lit("validation")))
+    return both.groupBy("user_id", "side").agg(F.count("*").alias("n"))
+
+
+@query("pending_work", "SELECT o_custkey AS chart, o_orderkey AS signature FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_suppkey = o_custkey)")
+def pending_work(spark: SparkSession, d: str) -> DataFrame:
+    done = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("chart"), F.col("l_orderkey").alias("signature"))
+    return lookup.pending(table(spark, d, "orders").select(F.col("o_custkey").alias("chart"), F.col("o_orderkey").alias("signature")), done)
+
+
+@query("audit_reasons", """SELECT c_custkey AS chart, CASE WHEN NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) THEN 'no audio' WHEN NOT EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey) THEN 'no features' WHEN EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = c_custkey) THEN 'parse error' END AS reason FROM customer""")
+def audit_reasons(spark: SparkSession, d: str) -> DataFrame:
+    key = lambda t, c: table(spark, d, t).select(F.col(c).alias("chart"))
+    return lookup.sound(key("customer", "c_custkey"), key("orders", "o_custkey"), key("events", "user_id"), key("supplier", "s_suppkey"))
+
+
+@query("cache_keys", "SELECT doc_id, md5(source || '/maidata.txt') || '.npy' AS feature FROM documents")
+def cache_keys(spark: SparkSession, d: str) -> DataFrame:
+    from metrolith.sources.charts import feature_name
+
+    return table(spark, d, "documents").select("doc_id", feature_name(F.col("source")).alias("feature"))
+
+
+# Arrays
+
+
+@query("standardised_embeddings", """WITH m AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings), v AS (SELECT vec_id, x, list_sum(x) / len(x) AS mu FROM m), w AS (SELECT vec_id, x, mu, list_sum(list_transform(x, lambda a: (a - mu) * (a - mu))) / len(x) AS var FROM v)
+  SELECT vec_id, round(var, 9) AS variance, round((x[1] - mu) / sqrt(var + 1e-7), 6) AS first FROM w""")
+def standardised_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    v = table(spark, d, "embeddings").select("vec_id", x.alias("x"))
+    return v.select("vec_id", F.round(augment.variance(F.col("x")), 9).alias("variance"), F.round(F.get(augment.standardised(F.col("x")), F.lit(0)), 6).alias("first"))
+
+
+@query("chunk_overlap", """WITH c AS (SELECT p_partkey AS chart, CAST(p_retailprice * 1000 AS BIGINT) AS n FROM part), k AS (SELECT chart, n, unnest(generate_series(0, CAST(ceil(n / 240000.0) AS BIGINT) - 1)) AS k FROM c WHERE n > 0), s AS (SELECT chart, n, k * 240000 AS core_start, least(n, k * 240000 + 240000) AS core_end, greatest(0, k * 240000 - 80000) AS lead FROM k)
+  SELECT chart, core_start, core_end, lead - lead % 320 AS input_start, least(n, core_end + 80000) AS input_end FROM s""")
+def chunk_overlap(spark: SparkSession, d: str) -> DataFrame:
+    songs = table(spark, d, "part").select(F.col("p_partkey").alias("chart"), F.round(F.col("p_retailprice") * 1000).cast("long").alias("samples"))
+    return augment.chunks(songs, 8000, 320)
+
+
+@query("disturbed_features")
+def disturbed_features(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.array(x)).alias("features"))
+    v = v.withColumn("mask", F.transform("features", lambda x, i: i % 8 < 7))
+    return augment.disturbed(v, "features", "mask", 0.5, 0.1, 6, 42, "vec_id").select("vec_id", F.round(F.aggregate(F.flatten("features"), F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
+
+
+@query("token_batches", """WITH r AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS i FROM events) SELECT event_id, i // 64 AS batch, CAST(i % 64 AS INTEGER) AS place FROM r""")
+def token_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Batches of 64 in the order of event_id. Rows are numbered by counts of ranges, not in one task."""
+    e = table(spark, d, "events").select("event_id")
+    span = F.floor(F.col("event_id") / 4096)
+    starts = e.groupBy(span.alias("span")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = starts.select("span", before.alias("before"))
+    placed = e.withColumn("span", span).withColumn("own", F.row_number().over(Window.partitionBy("span").orderBy("event_id")) - 1)
+    dense = placed.join(offsets, "span").select("event_id", (F.col("own") + F.col("before")).alias("i"))
+    return windows.batches(dense, 64, "i").select("event_id", "batch", "place")
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
