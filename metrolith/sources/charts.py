@@ -55,3 +55,8 @@ def catalogue_version(songs: DataFrame) -> str:
     """A digest of the songs, whatever their order: each row's digest, then these in order. A catalogue is small."""
     row = F.sha2(F.to_json(F.struct(*sorted(songs.columns))), 256).alias("d")
     return songs.select(row).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ","), 256)).first()[0]
+
+
+def write_texts(charts: DataFrame, folder: str) -> None:
+    """A folder for each chart with its text; charts that couldn't be written (null text) are left out."""
+    charts.where("text is not null").select("chart", "text").write.mode("overwrite").partitionBy("chart").text(folder)

@@ -193,3 +193,22 @@ def test_stream_gives_what_the_batch_gives(spark, tmp_path):
         kept += own
         want += [("s", k, t) for t in own]
     assert got == sorted(want + [("t", 0, t) for t in model([], "", 0)[:2]])
+
+
+def test_commands(spark, tmp_path):
+    from metrolith import __main__ as M
+
+    root, made = tmp_path / "charts", tmp_path / "features"
+    (root / "a").mkdir(parents=True)
+    made.mkdir()
+    (root / "a/maidata.txt").write_text("&title=T\n&inote_5=(120){4}1,2h[4:1],E")
+    (root / "a/track.mp3").write_bytes(b"0")
+    name = spark.range(1).select(S.feature_name(F.lit("a"))).first()[0]
+    (made / name).write_bytes(b"0" * (128 + 768 * 2 * 1500))
+    args = M.arguments().parse_args(["index", "--charts", str(root), "--features", str(made), "--out", str(tmp_path / "out"), "--stride", "10"])
+    folder = M.index(spark, args)
+    assert spark.read.parquet(f"{folder}/windows").count() == 2 and M.index(spark, args) == folder
+    M.audit(spark, M.arguments().parse_args(["audit", "--charts", str(root), "--out", str(tmp_path / "audit")]))
+    assert spark.read.parquet(str(tmp_path / "audit/changed")).count() == 0
+    with pytest.raises(SystemExit):
+        M.arguments().parse_args(["index", "--charts", "x", "--features", "y", "--out", "z", "--level", "7"])
