@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Blocks for each shuffle partition, shuffle partitions for each bucket; bytes of text that are hashed at a time. A block
-#: writes one row for each bucket it has something for, so both together make as many rows as Spark's own shuffle has parts.
-BLOCKS, PER_BUCKET, SLICE_BYTES = 2, 2, 1 << 17
+#: Blocks for each shuffle partition (there are as many buckets as partitions); bytes of text that are hashed at a time. A
+#: block writes one row for each bucket it has something for, so rows are of the order of the parts of Spark's own shuffle.
+BLOCKS, SLICE_BYTES = 2, 1 << 17
 #: Stands for a null id: it comes after all others.
 NO_ID = np.iinfo(np.int64).max
 
@@ -181,11 +181,11 @@ def run(df: DataFrame, key: str, text: str, schema: T.StructType, first: Callabl
     """first(block, docs, n) and second(block, docs, replies, n) make offers to n buckets; last(block, docs, replies, n) makes
     the rows."""
     spark = df.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_blocks, n = BLOCKS * partitions, max(1, partitions // PER_BUCKET)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_blocks = BLOCKS * n
     docs = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     docs = docs.withColumn("block", F.pmod(F.xxhash64("id", F.when(F.col("id").isNull(), F.col("text"))), F.lit(n_blocks)).cast("int"))
     held = docs.groupBy("block")
-    one = held.applyInArrow(lambda k, t: first(k[0].as_py(), t, n), OFFER).groupBy("bucket").applyInArrow(answer_first, REPLY)
+    one = held.applyInArrow(lambda k, t: first(k[0].as_py(), t, n), OFFER).groupBy("bucket").applyInArrow(answer_first, REPLY).repartition("block")  # both uses below share this exchange
     two = held.cogroup(one.groupBy("block")).applyInArrow(lambda k, t, r: second(k[0].as_py(), t, r, n), OFFER).groupBy("bucket").applyInArrow(answer_second, REPLY)
     return held.cogroup(one.unionAll(two).groupBy("block")).applyInArrow(lambda k, t, r: last(k[0].as_py(), t, r, n), schema)

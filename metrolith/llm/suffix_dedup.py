@@ -28,6 +28,8 @@ from metrolith.llm import blocks as B
 
 #: Bytes of an anchor, and windows that one context holds at most.
 ANCHOR, RUN = 20, 48
+#: Symbols in one suffix array, unless a single anchor has more.
+SYMBOLS = 400_000
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())])
 LAST = np.uint64(2**64 - 1)
 
@@ -167,26 +169,42 @@ def common_prefixes(texts: list[bytes], minimum: int) -> tuple[np.ndarray, np.nd
     return text_of[at], at - start[text_of[at]], group[at]
 
 
-def smallest_ids(contexts: list[bytes], anchors: np.ndarray, ids: np.ndarray, minimum: int) -> tuple[np.ndarray, np.ndarray]:
-    """The smallest id with the same string for each window of each context, all in a row, and windows of each context."""
-    known: dict[bytes, int] = {}
-    which = np.fromiter((known.setdefault(c, len(known)) for c in contexts), dtype=np.int64, count=len(contexts))
-    texts = list(known)
-    own = np.full(len(texts), B.NO_ID, dtype=np.int64)
-    np.minimum.at(own, which, ids)
-    anchor = np.zeros(len(texts), dtype=anchors.dtype)
-    anchor[which] = anchors
-    size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) - minimum + 1
-    begin = np.cumsum(size) - size
-    least = np.repeat(own, size)
-    _, back, count = np.unique(anchor, return_inverse=True, return_counts=True)
-    mixed = np.flatnonzero(count[back] > 1)  # an anchor with one context has no other string to meet
-    if len(mixed):
-        text, place, group = common_prefixes([texts[i] for i in mixed.tolist()], minimum)
-        smallest = np.full(int(group.max()) + 1, B.NO_ID, dtype=np.int64)
-        np.minimum.at(smallest, group, own[mixed[text]])
-        least[begin[mixed[text]] + place] = smallest[group]
-    return least[_stretches(begin[which], size[which])], size[which]
+class Smallest:
+    """The smallest id that has the same string, for each window of each context."""
+
+    def __init__(self, contexts: list[bytes], anchors: np.ndarray, ids: np.ndarray, minimum: int):
+        known: dict[bytes, int] = {}
+        self.which = np.fromiter((known.setdefault(c, len(known)) for c in contexts), dtype=np.int64, count=len(contexts))
+        texts = list(known)
+        own = np.full(len(texts), B.NO_ID, dtype=np.int64)
+        np.minimum.at(own, self.which, ids)
+        anchor = np.zeros(len(texts), dtype=anchors.dtype)
+        anchor[self.which] = anchors
+        long = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        self.size = long - minimum + 1
+        self.begin = np.cumsum(self.size) - self.size
+        self.least = np.repeat(own, self.size)
+        order = np.argsort(anchor, kind="stable")
+        first = np.flatnonzero(np.append(True, anchor[order][1:] != anchor[order][:-1])) if len(order) else np.zeros(0, np.int64)
+        # Contexts of one anchor stay together, and only so many symbols are sorted at a time.
+        part: list[int] = []
+        symbols = 0
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
+            if b - a > 1:  # an anchor with one context has no other string to meet
+                part += order[a:b].tolist()
+                symbols += int(long[order[a:b]].sum())
+            if part and (symbols >= SYMBOLS or b == len(order)):
+                at = np.array(part, dtype=np.int64)
+                text, place, group = common_prefixes([texts[i] for i in part], minimum)
+                smallest = np.full(int(group.max()) + 1, B.NO_ID, dtype=np.int64)
+                np.minimum.at(smallest, group, own[at[text]])
+                self.least[self.begin[at[text]] + place] = smallest[group]
+                part, symbols = [], 0
+
+    def of(self, begin: int, end: int) -> np.ndarray:
+        """For all windows of contexts[begin:end], in a row."""
+        which = self.which[begin:end]
+        return self.least[_stretches(self.begin[which], self.size[which])]
 
 
 def _stretches(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -223,9 +241,9 @@ def remove_repeats(df: DataFrame, minimum: int = 50, key: str = "doc_id", text:
             counts.append(len(r["p1"]))
             anchors.append(np.frombuffer(r["p2"], dtype=np.uint32))
             ids.append(np.cumsum(np.frombuffer(B.unpacked(r["p3"]), dtype=np.int64)))
-        least, size = smallest_ids(contexts, np.concatenate(anchors), np.concatenate(ids), minimum)
-        cuts = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(counts))]
-        return B.replies([(r["block"], 2, r["bucket"], B.packed(least[a:b].tobytes())) for r, a, b in zip(rows, cuts[:-1], cuts[1:], strict=True)])
+        smallest = Smallest(contexts, np.concatenate(anchors), np.concatenate(ids), minimum)
+        ends = np.cumsum(counts).tolist()
+        return B.replies([(r["block"], 2, r["bucket"], B.packed(smallest.of(b - k, b).tobytes())) for r, k, b in zip(rows, counts, ends, strict=True)])
 
     def last(block: int, docs: pa.Table, replies: pa.Table, n: int) -> pa.Table:
         own = _Block(docs, minimum)
