@@ -66,7 +66,7 @@ class Runs:
         start = np.repeat(begin, parts) + piece * RUN
         stop = np.minimum(start + RUN, np.repeat(begin + length, parts))
         self.begin, self.end = at[start], at[start] + (stop - start)
-        self.anchor, self.doc = own[start], doc[start]
+        self.anchor, self.doc = B.mix(own[start]), doc[start]  # smallest hashes lie close together; mixed, they spread over buckets
 
 
 class _Block:
