@@ -4,8 +4,9 @@ Every text becomes a set of word shingles, a MinHash signature cut into bands, a
 signature folded into a parity bitmap, so that the bits in which two sketches differ bound the samples in which the
 signatures differ. Equal sets are one class from then on. Classes that share a band are candidates: first each with the
 smallest class of its band (a star, so a band that a third of the corpus shares gives one candidate per class), and, once
-these links have joined components, those pairs of a band that still lie in different components. Candidates whose
-sketches differ too much go; the rest is confirmed on the full shingle sets of both texts.
+these links have joined components, those pairs of a band that still lie in different components. For these, shingles
+that no other such text has bound what a pair can share, so a text of many edits doesn't meet a whole group of copies.
+Candidates whose sketches differ too much go; the rest is confirmed on the full shingle sets of both texts.
 
 Bands and sketch limit follow from the similarity: a linked pair shares no band, or fails its sketch, with a chance of
 less than 1e-7 each.
@@ -29,9 +30,10 @@ from metrolith.llm import blocks as B
 from metrolith.llm.scratch import cut, let
 from metrolith.llm.substring_dedup import Words
 
-ROWS, MISS, SKETCH_BITS = 4, 1e-7, 512
-#: Ids up to this number are looked up by broadcast; beyond it, by shuffle.
-BROADCAST_IDS = 20_000
+ROWS, MISS, SKETCH_BITS = 6, 1e-7, 1024
+#: Ids up to this number (8 MB) are looked up by broadcast, so that texts which aren't wanted aren't shuffled; beyond it, by
+#: shuffle.
+BROADCAST_IDS = 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
@@ -51,6 +53,22 @@ def most_differing_bits(percent: int, samples: int) -> int:
     return 2 * (samples - m)
 
 
+def _shingles(part: B.Slice, shingle: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Documents, and the distinct shingle hashes of each: (n, document, hash), in the order of both."""
+    part = B.Slice(part.ids, FOLD[part.data], part.starts, part.first)
+    words = Words(part)
+    n = np.diff(words.starts)
+    many = np.where(n >= shingle, n - shingle + 1, np.minimum(n, 1))  # shingles of each document
+    doc = np.repeat(np.arange(len(n)), many)
+    at = np.arange(len(doc)) + np.repeat(words.starts[:-1] - (np.cumsum(many) - many), many)
+    hashes = words.sums(0).of(at, at + np.minimum(n, shingle)[doc])
+    order = np.lexsort((hashes, doc))
+    doc, hashes = doc[order], hashes[order]
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
+    return len(n), doc[new], hashes[new]
+
+
 def signatures(df: DataFrame, percent: int, shingle: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     bands = bands_for(percent)
     samples = bands * ROWS
@@ -58,22 +76,11 @@ def signatures(df: DataFrame, percent: int, shingle: int, key: str = "doc_id", t
     factor, shift, salt = draw.integers(0, 2**63, size=(3, samples), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def signed(part: B.Slice) -> tuple:
-        part = B.Slice(part.ids, FOLD[part.data], part.starts, part.first)
-        words = Words(part)
-        n = np.diff(words.starts)
-        many = np.where(n >= shingle, n - shingle + 1, np.minimum(n, 1))  # shingles of each document
-        doc = np.repeat(np.arange(len(n)), many)
-        at = np.arange(len(doc)) + np.repeat(words.starts[:-1] - (np.cumsum(many) - many), many)
-        hashes = words.sums(0).of(at, at + np.minimum(n, shingle)[doc])
-        order = np.lexsort((hashes, doc))
-        doc, hashes = doc[order], hashes[order]
-        new = np.ones(len(doc), dtype=bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
-        doc, hashes = doc[new], hashes[new]
-        size = np.bincount(doc, minlength=len(n))
+        n, doc, hashes = _shingles(part, shingle)
+        size = np.bincount(doc, minlength=n)
         full = np.flatnonzero(size)
         first = (np.cumsum(size) - size)[full]
-        digest = np.zeros((len(n), 2), dtype=np.uint64)
+        digest = np.zeros((n, 2), dtype=np.uint64)
         least = np.zeros((samples, len(full)), dtype=np.uint64)
         if len(full):
             for lane in (0, 1):
@@ -124,6 +131,27 @@ def _differing(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
 
 
+def alone(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """node, lone: how many shingles of each of `nodes` (node, k: its texts) none of the others has; docs: id, text. A node
+    of several texts counts as having none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in B.slices(pa.Table.from_batches([batch])):
+                _, doc, hashes = _shingles(part, shingle)
+                yield pa.RecordBatch.from_arrays([pa.array(part.ids[doc]), pa.array(hashes.view(np.int64))], names=["node", "hash"])
+
+    wanted = of_ids(docs, nodes.select(F.col("node").alias("id"))).select("id", F.coalesce("text", F.lit("")).alias("text"))
+    once = wanted.mapInArrow(run, "node long, hash long").groupBy("hash").agg(F.min("node").alias("node"), F.max("node").alias("last"))
+    return once.where("node = last").join(nodes.where("k = 1"), "node", "left_semi").groupBy("node").agg(F.count("*").alias("lone"))
+
+
+def _may_share(percent: int) -> Column:
+    """Both can only share what others have too, which must be enough for the similarity."""
+    shared = F.least(F.col("n_a") - F.col("lone_a"), F.col("n_b") - F.col("lone_b"))
+    return 100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)
+
+
 def _may_link(percent: int, limit: int) -> Column:
     sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     return sizes & (_differing(F.col("sketch_a"), F.col("sketch_b")) <= limit)
@@ -135,12 +163,16 @@ def _sketched(pairs: DataFrame, reps: DataFrame, percent: int, limit: int) -> Da
     return pairs.join(side("a"), "a").join(side("b"), "b").where(_may_link(percent, limit)).select("a", "b").distinct()
 
 
+def of_ids(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of docs with an id in wanted (id)."""
+    wanted = cut(wanted)
+    return docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "id", "left_semi")
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int, shingle: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity; docs: id, text."""
     pairs = cut(pairs)
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    if wanted.count() <= BROADCAST_IDS:
-        docs = docs.join(F.broadcast(wanted), "id", "left_semi")
+    docs = of_ids(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     one = pairs.join(docs.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     both = one.join(docs.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     sets = both.select("a", "b", shingle_set(F.col("text_a"), shingle).alias("x"), shingle_set(F.col("text_b"), shingle).alias("y"))
@@ -163,15 +195,20 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _across(banded: DataFrame, labels: DataFrame, reps: DataFrame, percent: int, limit: int) -> DataFrame:
+def _across(banded: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, shingle: int, limit: int) -> DataFrame:
     """Pairs of one band in different components. A band's largest component meets all others, these meet each other."""
     told = banded.join(labels, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
     sizes = told.groupBy("band", "component").count()
     main = sizes.groupBy("band").agg(F.max(F.struct("count", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("band", F.col("m.component").alias("main"))
-    told = told.join(main, "band").join(reps.select("node", "n_shingles", "sketch"), "node")
-    side = lambda x: told.select("band", F.col("node").alias(x), F.col("component").alias(f"component_{x}"), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"), (F.col("component") == F.col("main")).alias(f"main_{x}"))
+    told = cut(told.join(main, "band"))
+    nodes = cut(told.select("node").distinct().join(reps.groupBy("node").agg(F.count("*").alias("k")), "node"))
+    known = cut(reps.select("node", "n_shingles", "sketch").join(nodes.join(alone(docs, nodes, shingle), "node", "left").select("node", F.coalesce("lone", F.lit(0)).alias("lone")), "node"))
+    known = known.where(100 * (F.col("n_shingles") - F.col("lone")) >= percent * F.col("n_shingles"))  # else no text can reach it
+    told = told.join(known, "node")
+    side = lambda x: told.select("band", F.col("node").alias(x), F.col("component").alias(f"component_{x}"), F.col("n_shingles").alias(f"n_{x}"), F.col("lone").alias(f"lone_{x}"), F.col("sketch").alias(f"sketch_{x}"), (F.col("component") == F.col("main")).alias(f"main_{x}"))
     few = side("a").where("not main_a").drop("main_a")
-    met = few.join(side("b"), "band").where((F.col("component_a") != F.col("component_b")) & (F.col("main_b") | (F.col("component_a") < F.col("component_b"))) & _may_link(percent, limit))
+    apart = (F.col("component_a") != F.col("component_b")) & (F.col("main_b") | (F.col("component_a") < F.col("component_b")))
+    met = few.join(side("b"), "band").where(apart & _may_share(percent) & _may_link(percent, limit))
     return met.select("a", "b").distinct()
 
 
@@ -190,7 +227,7 @@ def find(df: DataFrame, percent: int = 80, shingle: int = 5, key: str = "doc_id"
     stars = banded.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     edges = cut(confirm(_sketched(stars, reps, percent, limit), docs, percent, shingle))
     labels = components(edges)
-    rest = cut(_across(banded, labels, reps, percent, limit).join(stars.unionAll(stars.select("b", "a")), ["a", "b"], "left_anti"))
+    rest = cut(_across(banded, labels, reps, docs, percent, shingle, limit).join(stars.unionAll(stars.select("b", "a")), ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         labels = components(edges.unionAll(confirm(rest, docs, percent, shingle)))
     named = classes.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
