@@ -32,34 +32,59 @@ def whole(bpm: Column) -> Column:
     return F.when(bpm > 0, F.try_divide(F.lit(240.0), bpm)).otherwise(F.lit(0.0))
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value written once in the plan however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def seconds(text: Column, bpm: Column) -> Column:
     waits = text.contains("##")
-    wait = F.when(waits, _or_zero(before(text, "##"))).otherwise(F.lit(0.0))
-    rest = F.when(waits, after(text, "##")).otherwise(text)
-    own = F.when(rest.contains("#"), number(before(rest, "#"))).otherwise(bpm)
-    beats = F.when(rest.contains("#"), after(rest, "#")).otherwise(rest)
-    pair = beats.contains(":")
-    divider, many = number(before(beats, ":")), F.when(pair, number(after(beats, ":"))).otherwise(F.lit(1.0))
-    step = F.try_divide(F.try_divide(F.lit(240.0), own), divider)
-    length = F.when((own > 0) & (divider > 0), F.when(pair, step * many).otherwise(step)).otherwise(F.when(own.isNotNull() & divider.isNotNull() & many.isNotNull(), F.lit(0.0)))
-    return F.when(text == "", F.lit(0.0)).when(rest.startswith("#"), wait + number(F.substring(rest, 2, 1 << 30))).otherwise(wait + length)
+    bound = F.struct(
+        F.when(waits, _or_zero(before(text, "##"))).otherwise(F.lit(0.0)).alias("wait"),
+        F.when(waits, after(text, "##")).otherwise(text).alias("rest"),
+        bpm.alias("bpm"),
+    )
+
+    def with_beats(v: Column) -> Column:
+        given = v["rest"].contains("#")
+        beats = F.when(given, after(v["rest"], "#")).otherwise(v["rest"])
+        return F.struct(
+            v["wait"].alias("wait"),
+            F.when(v["rest"].startswith("#"), number(F.substring(v["rest"], 2, 1 << 30))).alias("plain"),
+            v["rest"].startswith("#").alias("is_plain"),
+            F.when(given, number(before(v["rest"], "#"))).otherwise(v["bpm"]).alias("own"),
+            number(before(beats, ":")).alias("divider"),
+            F.when(beats.contains(":"), number(after(beats, ":"))).otherwise(F.lit(1.0)).alias("many"),
+        )
+
+    def length(v: Column) -> Column:
+        step = F.try_divide(F.try_divide(F.lit(240.0), v["own"]), v["divider"]) * v["many"]
+        known = v["own"].isNotNull() & v["divider"].isNotNull() & v["many"].isNotNull()
+        beats = F.when((v["own"] > 0) & (v["divider"] > 0), step).otherwise(F.when(known, F.lit(0.0)))
+        return v["wait"] + F.when(v["is_plain"], v["plain"]).otherwise(beats)
+
+    return F.when(text == "", F.lit(0.0)).otherwise(let(let(bound, with_beats), length))
 
 
 def slide_times(text: Column, bpm: Column, strict: bool = False) -> Column:
     """struct(wait, trace); without a wait of its own a slide waits a whole note. strict: a plain number after `##` is seconds."""
-    rest = after(text, "##")
-    own, inner = number(before(text, "#")), after(text, "#")
-    trace_bpm, trace_rest = number(before(rest, "#")), after(rest, "#")
-    plain = F.when(rest.rlike(NUMBER), number(rest)) if strict else F.lit(None).cast("double")
-    waited = F.struct(
-        _or_zero(before(text, "##")).alias("wait"),
-        F.when(rest.startswith("#"), number(F.substring(rest, 2, 1 << 30))).when(rest.contains("#"), seconds(trace_rest, trace_bpm)).otherwise(F.coalesce(plain, seconds(rest, bpm))).alias("trace"),
-    )
-    marks = F.length(text) - F.length(F.replace(text, F.lit("#")))
-    trace = F.when((marks == 1) & ~text.contains(":"), number(inner)).otherwise(seconds(inner, own))
-    given = F.struct(F.try_divide(F.lit(240.0), own).alias("wait"), trace.alias("trace"))
-    default = F.struct(whole(bpm).alias("wait"), seconds(text, bpm).alias("trace"))
-    return F.when(text.contains("##"), waited).when(text.contains("#"), given).otherwise(default)
+    waits = text.contains("##")
+    bound = F.struct(text.alias("text"), bpm.alias("bpm"), waits.alias("waits"), F.when(waits, after(text, "##")).otherwise(text).alias("rest"))
+
+    def parts(v: Column) -> Column:
+        """What the trace is: seconds as they stand, or a length at a bpm."""
+        rest = v["rest"]
+        marks = F.length(rest) - F.length(F.replace(rest, F.lit("#")))
+        own = F.when(rest.contains("#"), number(before(rest, "#"))).otherwise(v["bpm"])
+        stands = F.when(v["waits"], rest.startswith("#") | (F.lit(strict) & rest.rlike(NUMBER))).otherwise((marks == 1) & ~rest.contains(":"))
+        wait = F.when(v["waits"], _or_zero(before(v["text"], "##"))).when(rest.contains("#"), F.try_divide(F.lit(240.0), own)).otherwise(whole(v["bpm"]))
+        inner = F.when(rest.contains("#"), after(rest, "#")).otherwise(rest)
+        return F.struct(wait.alias("wait"), stands.alias("stands"), inner.alias("inner"), own.alias("own"))
+
+    def both(v: Column) -> Column:
+        return F.struct(v["wait"].alias("wait"), F.when(v["stands"], number(v["inner"])).otherwise(seconds(v["inner"], v["own"])).alias("trace"))
+
+    return let(let(bound, parts), both)
 
 
 def fraction(beats: Column) -> Column:

@@ -39,8 +39,9 @@ def _force_star(marks: Column) -> Column:
     return F.coalesce(marks, F.lit("")).rlike(r"(?<!\$)(?:\$\$)*\$(?!\$)")
 
 
-def slide_parts(token: Column) -> Column:
+def slide_parts(token: Column, bpm: Column, strict: bool = False) -> Column:
     """The segments of a slide as they are written, each with what it says itself; null if the token isn't a slide."""
+    default = F.struct(D.whole(bpm).alias("wait"), F.lit(0.0).alias("trace"))
     body = F.regexp_replace(F.when(token.endswith("b") & ~token.endswith("hb"), F.substring(token, F.lit(1), F.length(token) - 1)).otherwise(token), r"^[?!]", "")
     fits = body.rlike(rf"^[1-8]{_MARKS}(?:{_PLAIN})+$")
     rest = F.regexp_replace(body, r"^[1-8]", "")
@@ -58,13 +59,13 @@ def slide_parts(token: Column) -> Column:
             F.concat(part(p, 7), part(p, 10), part(p, 11)).alias("digit"),
             tail.alias("tail"),
             p.contains("[").alias("timed"),
-            part(p, 13).alias("time"),
+            F.when(p.contains("["), D.slide_times(part(p, 13), bpm, strict)).otherwise(default).alias("times"),
         )
 
     return F.when(fits, F.transform(F.regexp_extract_all(rest, F.lit(_PLAIN), 0), read))
 
 
-def slide_segments(token: Column, parts: Column, bpm: Column, strict: bool = False) -> Column:
+def slide_segments(token: Column, parts: Column) -> Column:
     """The segments as an array of SEGMENT; null where a shape or lane is missing, or a time can't be read. Marks hold from
     where they stand for all segments that follow; a break at the end of the token holds for all."""
     first = F.substring(F.regexp_replace(token, r"^[?!]", ""), 1, 1)
@@ -82,14 +83,13 @@ def slide_segments(token: Column, parts: Column, bpm: Column, strict: bool = Fal
         branch = F.get(parts, begin)["branch"] | (begin == 0)
         start = F.when(branch, first).otherwise(F.get(parts, begin - 1)["digit"])
         shape = shape_at(i)
-        times = D.slide_times(p["time"], bpm, strict)
         some = lambda test: F.exists(seen, test)
         return F.struct(
             F.create_map(*[F.lit(x) for pair in V.SHAPE_OF.items() for x in pair])[shape].alias("shape"),
             start.cast("int").alias("start_lane"),
             p["digit"].cast("int").alias("end_lane"),
-            F.when(p["timed"], times["wait"]).otherwise(D.whole(bpm)).alias("wait_sec"),
-            F.when(p["timed"], times["trace"]).otherwise(F.lit(0.0)).alias("trace_sec"),
+            p["times"]["wait"].alias("wait_sec"),
+            p["times"]["trace"].alias("trace_sec"),
             F.when(shape == ">", F.lit(True)).when(shape == "<", F.lit(False)).alias("cw"),
             F.when(two, F.get(parts, i - 1)["digit"]).otherwise(p["middle"]).cast("int").alias("middle_lane"),
             some(lambda q: _force_star(q["marks"])).alias("force_star"),
@@ -102,8 +102,9 @@ def slide_segments(token: Column, parts: Column, bpm: Column, strict: bool = Fal
     half = lambda i: bare(i) % 2 == 1
     odd = F.transform(parts, lambda p, i: F.when(half(i), (p["tail"] == "") & ~p["timed"] & (i + 1 < F.size(parts)) & F.coalesce(F.trim(F.get(parts, i + 1)["marks"]) == "", F.lit(False)) & ~F.coalesce(F.get(parts, i + 1)["branch"], F.lit(True)) & F.get(parts, i + 1)["shape"].isNull()).otherwise(F.lit(True)))
     built = F.transform(parts, lambda p, i: F.when(~half(i), build(p, i)))
-    good = F.forall(odd, lambda x: x) & F.get(parts, F.lit(0))["shape"].isNotNull() & F.forall(built, lambda s: s.isNull() | (s["wait_sec"].isNotNull() & s["trace_sec"].isNotNull()))
-    return F.when(good, F.filter(built, lambda s: s.isNotNull()))
+    whole = F.forall(odd, lambda x: x) & F.get(parts, F.lit(0))["shape"].isNotNull()
+    read = lambda b: F.forall(b, lambda s: s["wait_sec"].isNotNull() & s["trace_sec"].isNotNull())
+    return F.when(whole, D.let(F.filter(built, lambda s: s.isNotNull()), lambda b: F.when(read(b), b)))
 
 
 def columns(token: Column, bpm: Column, parts: Column, segments: Column) -> dict[str, Column]:
