@@ -1,15 +1,18 @@
-"""HTML extraction: the main text of pages, with a host-wide look for boilerplate where markup leaves it open.
+"""HTML extraction: the main text of pages, less what most pages of their host repeat.
 
 A small reader cuts a page into blocks. Blocks of article or main elements are the text, without the menus, notices,
-forms and comments in them. Pages that have no such element give all blocks that markup doesn't rule out, and the host
-decides: the token streams of its pages are laid side by side, the suffixes of all streams are put in order as far as
-the first LONG tokens, and a run that stands in the streams of different pages is boilerplate. Covered tokens go, and the
-runs that are unique stay. Ordering suffixes by their first LONG tokens is a grouping by these, so a large host is spread
-over tasks and counted map-side.
+forms and comments in them; pages that have no such element give all blocks that markup doesn't rule out. Then the host
+decides about the blocks of every page: a repeat of LONG tokens or more that `share` of the different pages of the host
+have, and LEAST at least, is boilerplate. A token is covered by such a repeat exactly if it is covered by a window of
+LONG tokens that so many pages have, so windows stand for the maximal repeats, and runs of windows for their union.
+Blocks that are mostly covered go; of other blocks only a run at an end goes, never words between others.
+
+Windows are counted exactly in two passes: a window that has its share of the host has it in some chunk of the input too,
+so a first pass names those and a second one counts them over all pages. No text is shuffled and no host meets one task.
 
 Defined results: null and empty html give an empty text; a null url is a host of its own for each page, so nothing there
-is repeated; pages with equal streams count as one page; repeated rows have equal results; an empty table gives an empty
-table; other columns are dropped unless named in `keep`.
+is repeated; pages of a host with equal blocks count as one page; repeated rows have equal results; an empty table gives
+an empty table; other columns are dropped unless named in `keep`.
 """
 
 from __future__ import annotations
@@ -18,16 +21,23 @@ import html as entities
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from metrolith.llm import blocks as B
 from metrolith.llm.scratch import cut
+from metrolith.llm.substring_dedup import Words
 from metrolith.llm.url_filters import host
 
-#: Tokens of a run that is long enough to be boilerplate if other pages of the host have it too.
-LONG = 6
+#: Tokens of a run that is long enough to be boilerplate; the share of a host's pages, and the least number, that have it.
+LONG, SHARE, LEAST = 6, 0.5, 3
+#: The share of a block that is covered when all of it goes; tokens that are counted at a time; windows that are broadcast.
+MOSTLY, CHUNK, BROADCAST = 0.8, 1 << 22, 1_000_000
+GAP = np.zeros(256, dtype=bool)
+GAP[[0x0A, 0x20]] = True
 
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section summary table tbody tfoot thead title tr ul".split())
 SPACES = frozenset("br td th wbr img input".split())
@@ -157,46 +167,129 @@ def blocks(page: str) -> tuple[list[str], list[str]]:
 
 
 def read_pages(df: DataFrame, html: str = "html", url: str = "url", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """`keep`, host, settled (the text if markup settles it, else null) and open (the blocks that are left to the host)."""
-    own = F.when(F.col(f"`{url}`").isNotNull(), host(F.col(f"`{url}`")))
+    """`keep`, __host (a hash, null without url) and __text, the blocks that markup leaves, one in a line."""
+    own = F.when(F.col(f"`{url}`").isNotNull(), F.xxhash64(host(F.col(f"`{url}`"))))
     source = df.select(*[F.col(f"`{c}`") for c in keep], own.alias("__host"), F.col(f"`{html}`").alias("__html"))
-    schema = T.StructType([*source.schema.fields[:-1], T.StructField("settled", T.StringType()), T.StructField("open", T.ArrayType(T.StringType()))])
+    schema = T.StructType([*source.schema.fields[:-1], T.StructField("__text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            settled, left = [], []
+            texts = []
             for value in batch.column(batch.num_columns - 1):
                 main, rest = blocks(value.as_py() or "")
-                done = bool(main) or not rest
-                settled.append("\n".join(main) if done else None)
-                left.append(None if done else rest)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(settled, pa.string()), pa.array(left, pa.list_(pa.string()))], names=schema.fieldNames())
+                texts.append("\n".join(main or rest))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=schema.fieldNames())
 
     return source.mapInArrow(run, schema)
 
 
-def repeated_runs(streams: DataFrame, long: int) -> DataFrame:
-    """host, stream, covered (sorted places of tokens in runs that other streams of the host have); streams: host, stream
-    (an id of its tokens), tokens."""
-    places = F.sequence(F.lit(0), F.size("tokens") - long)
-    suffixes = streams.where(F.size("tokens") >= long).select("host", "stream", F.explode(F.transform(places, lambda i: F.struct(i.alias("at"), F.array_join(F.slice("tokens", i + 1, F.lit(long)), " ").alias("head")))).alias("s")).select("host", "stream", "s.at", "s.head")
-    shared = suffixes.groupBy("host", "head").agg(F.min("stream").alias("x"), F.max("stream").alias("y")).where("x <> y").select("host", "head")
-    hits = suffixes.join(shared, ["host", "head"], "left_semi")
-    tokens = hits.select("host", "stream", F.explode(F.sequence(F.col("at"), F.col("at") + (long - 1))).alias("place"))
-    return tokens.groupBy("host", "stream").agg(F.array_sort(F.collect_set("place")).alias("covered"))
+def _windows(texts: list[str], hosts: list[int], long: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(place in texts, number of tokens, code of each window of `long` tokens, which holds the host)."""
+    table = pa.table({"id": pa.array(np.arange(len(texts))), "text": pa.array(texts, pa.string())})
+    for part in B.slices(table):
+        words = Words(part, GAP)
+        runs = words.sums(0).runs(long)
+        for i, first, end in zip(part.ids.tolist(), words.starts[:-1].tolist(), words.starts[1:].tolist(), strict=True):
+            codes = runs[first : max(first, end - long + 1)]
+            yield i, end - first, B.mix(codes ^ np.uint64(hosts[i] % 2**64)).view(np.int64)
+
+
+def _counted(pages: DataFrame, long: int, share: float, wanted=None) -> DataFrame:
+    """host, code, weight (different pages) for each chunk of pages: of the broadcast codes, or of those with `share` there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes: list[np.ndarray] = []
+        owner: list[tuple[int, float]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            n = [len(c) for c in codes]
+            hosts, weights = np.array([h for h, _ in owner], dtype=np.int64), np.array([w for _, w in owner])
+            code, first, place = np.unique(np.concatenate(codes), return_index=True, return_inverse=True)
+            total = np.bincount(place, weights=np.repeat(weights, n))
+            host_of = np.repeat(hosts, n)[first]
+            if wanted is None:
+                names, which = np.unique(hosts, return_inverse=True)
+                here = np.bincount(which, weights=weights)[np.searchsorted(names, host_of)]
+                real = total >= share * here - 1e-6
+                code, total, host_of = code[real], total[real], host_of[real]
+            codes.clear()
+            owner.clear()
+            return pa.RecordBatch.from_arrays([pa.array(host_of), pa.array(code), pa.array(total)], names=["host", "code", "weight"])
+
+        for batch in batches:
+            hosts, weights, texts = (batch.column(i).to_pylist() for i in range(3))
+            for i, _, found in _windows(texts, hosts, long):
+                found = np.unique(found)
+                if wanted is not None:
+                    found = found[np.isin(found, wanted.value)] if len(wanted.value) else found[:0]
+                codes.append(found)
+                owner.append((hosts[i], weights[i]))
+                size += len(found)
+                if size >= CHUNK:
+                    size = 0
+                    yield flush()
+        if codes:
+            yield flush()
+
+    return pages.mapInArrow(run, "host long, code long, weight double")
+
+
+def boilerplate(read: DataFrame, long: int, share: float) -> DataFrame:
+    """__host, __codes: the windows that `share` of the different pages of a host have; read: __host, __stream, __text."""
+    own = read.where("__host is not null and __text <> ''")
+    hosts = cut(own.groupBy("__host").agg(F.count_distinct("__stream").alias("pages")).where(F.col("pages") >= LEAST))
+    copies = cut(own.groupBy("__stream").agg(F.count("*").alias("n")).where("n > 1"))
+    small = copies.count() <= BROADCAST
+    pages = own.join(F.broadcast(copies) if small else copies, "__stream", "left").select("__host", (1.0 / F.coalesce("n", F.lit(1))).alias("weight"), "__text")
+    named = cut(_counted(pages, long, share).join(hosts, F.col("host") == F.col("__host"), "left_semi").select("host", "code").distinct())
+    if named.count() <= BROADCAST:
+        wanted = read.sparkSession.sparkContext.broadcast(np.sort(named.select("code").toArrow().column("code").to_numpy()))
+        counted = _counted(pages, long, share, wanted)
+    else:
+        counted = _counted(pages, long, 0.0).join(named, ["host", "code"], "left_semi")
+    total = counted.groupBy("host", "code").agg(F.sum("weight").alias("weight"))
+    enough = F.col("weight") >= F.greatest(F.lit(float(LEAST)), share * F.col("pages")) - 1e-6
+    return total.join(hosts, F.col("host") == F.col("__host")).where(enough).groupBy("__host").agg(F.collect_list("code").alias("__codes"))
+
+
+def without(text: str, hit: np.ndarray, n: int, long: int) -> str:
+    """The text without blocks that are mostly covered and without covered ends of the others; hit: windows that count."""
+    edge = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(edge, hit, 1)
+    np.add.at(edge, hit + long, -1)
+    covered = np.cumsum(edge[:n]) > 0
+    out, at = [], 0
+    for block in text.split("\n"):
+        tokens = block.split(" ")
+        gone = covered[at : at + len(tokens)]
+        at += len(tokens)
+        if gone.mean() >= MOSTLY:
+            continue
+        own = np.flatnonzero(~gone)
+        first, end = int(own[0]), int(own[-1]) + 1
+        out.append(" ".join(tokens[first if first >= long else 0 : end if len(tokens) - end >= long else len(tokens)]))
+    return "\n".join(out)
 
 
-def extract(df: DataFrame, html: str = "html", url: str = "url", keep: tuple[str, ...] = ("page_id", "url"), long: int = LONG) -> DataFrame:
+def extract(df: DataFrame, html: str = "html", url: str = "url", keep: tuple[str, ...] = ("page_id", "url"), long: int = LONG, share: float = SHARE) -> DataFrame:
     """`keep`, text and n_chars for every row."""
-    read = read_pages(df, html, url, keep)
-    marked = F.transform("open", lambda b, i: F.transform(F.split(b, " "), lambda w: F.struct(w.alias("w"), i.alias("b"))))
-    read = cut(read.withColumn("__stream", F.when(F.col("open").isNotNull(), F.sha2(F.array_join("open", "\n"), 256))))
-    left = read.where("open is not null and __host is not null").select(F.col("__host").alias("host"), F.col("__stream").alias("stream"), F.transform(F.flatten(marked), lambda s: s["w"]).alias("tokens")).dropDuplicates(["host", "stream"])
-    covered = repeated_runs(left, long).select(F.col("host").alias("__host"), F.col("stream").alias("__stream"), "covered")
-    told = read.join(covered, ["__host", "__stream"], "left")
-    gone = F.coalesce("covered", F.array().cast("array<int>"))
-    kept = F.filter(F.flatten(marked), lambda s, i: ~F.array_contains(gone, i))
-    lines = F.transform(F.sequence(F.lit(0), F.size("open") - 1), lambda n: F.array_join(F.transform(F.filter(kept, lambda s: s["b"] == n), lambda s: s["w"]), " "))
-    whole = F.when(F.col("covered").isNull(), F.array_join("open", "\n")).otherwise(F.array_join(F.filter(lines, lambda x: x != ""), "\n"))
-    text = F.when(F.col("open").isNull(), F.coalesce("settled", F.lit(""))).otherwise(whole)
-    return told.select(*[F.col(f"`{c}`") for c in keep], text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    read = cut(read_pages(df, html, url, keep).withColumn("__stream", F.xxhash64("__host", "__text")))
+    found = cut(boilerplate(read, long, share))
+    small = (found.agg(F.sum(F.size("__codes"))).first()[0] or 0) <= BROADCAST
+    told = read.select(*[F.col(f"`{c}`") for c in keep], "__host", "__text").join(F.broadcast(found) if small else found, "__host", "left")
+    told = told.select(*[F.col(f"`{c}`") for c in keep], "__host", "__codes", "__text")
+    schema = T.StructType([*told.schema.fields[:-3], T.StructField("text", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hosts, texts = batch.column(batch.num_columns - 3).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+            codes = batch.column(batch.num_columns - 2)
+            open_pages = np.flatnonzero(codes.is_valid().to_numpy(zero_copy_only=False)).tolist()
+            for i, n, own in _windows([texts[k] for k in open_pages], [hosts[k] for k in open_pages], long):
+                hit = np.flatnonzero(np.isin(own, codes[open_pages[i]].values.to_numpy()))
+                if len(hit):
+                    texts[open_pages[i]] = without(texts[open_pages[i]], hit, n, long)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(texts, pa.string())], names=schema.fieldNames())
+
+    return told.mapInArrow(run, schema).withColumn("n_chars", F.length("text").cast("long"))

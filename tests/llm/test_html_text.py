@@ -55,3 +55,13 @@ def test_repeated_runs_of_a_host_go(spark):
     assert all(out[i] == b for i, b in enumerate(bodies))
     assert out[50] == out[51] == out[52] == menu and out[53] == out[54] == "" and out[60] == out[61] != ""
     assert H.extract(pages.where("false")).count() == 0
+
+
+def test_boilerplate_inside_articles_goes_by_host(spark):
+    draw = random.Random(2)
+    own = lambda n: " ".join(f"u{draw.randrange(10**6)}" for _ in range(n))
+    promo = "follow us for more stories like this every day"
+    bodies = [own(40) for _ in range(20)]
+    rows = [(i, "http://h.org/%d" % i, f"<article><p>{b}</p><div>{promo}</div></article>") for i, b in enumerate(bodies)]
+    out = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(out[i] == b for i, b in enumerate(bodies))
