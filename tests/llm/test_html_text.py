@@ -65,3 +65,15 @@ def test_boilerplate_inside_articles_goes_by_host(spark):
     rows = [(i, "http://h.org/%d" % i, f"<article><p>{b}</p><div>{promo}</div></article>") for i, b in enumerate(bodies)]
     out = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(out[i] == b for i, b in enumerate(bodies))
+
+
+def test_text_that_few_pages_share_stays(spark):
+    draw = random.Random(3)
+    own = lambda n: " ".join(f"u{draw.randrange(10**6)}" for _ in range(n))
+    phrase, article = "as far as anybody here can tell", own(50)
+    rows = [(i, f"http://h.org/{i}", f"<div>{own(9)} {phrase if i < 5 else own(7)} {own(9)}</div>") for i in range(20)]
+    rows += [(30 + i, f"http://h.org/{30 + i}", f"<div>{article}</div><div>{own(12)}</div>") for i in range(2)]
+    rows += [(40 + i, f"http://mid.org/{i}", f"<div>{own(9)} {phrase} {own(9)}</div>") for i in range(6)]
+    rows += [(50 + i, "http://copy.org/", f"<p>{article}</p>") for i in range(5)] + [(60, "http://copy.org/x", f"<p>{own(20)}</p>")]
+    out = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(out[i] == text(page) for i, _, page in rows)
