@@ -1,9 +1,11 @@
 """Personal data: base patterns, and bootstrapped contextual extraction on top.
 
 One scan of the texts finds the base entities (e-mail, IP, card, phone) and all other candidate identifiers, tokens with
-a digit, with the two words before each. Entities are seeds: contexts and values form a graph, in which Spark scores a
-context by the share of its values that are known, then a value by the contexts it stands in, in turn, for some rounds.
-Contexts of high confidence, supported by several different seeds, turn their other values into spans of kind `other`.
+a digit, with the words around each. Entities are seeds: patterns and values form a graph, in which Spark scores a pattern
+by the share of its values that are known, then a value by the patterns it stands in, in turn, for some rounds. Patterns
+are the two words before, the word before, the word before with the shape of the token, and the word after. A pattern
+counts if it holds several different values that are entities or were found with confidence in an earlier round, so what
+is found spreads. All places of a value of high confidence, whatever stands around them, are spans of kind `other`.
 
 Defined results: null text counts as empty (no spans, the digest of nothing); repeated rows have equal results; a null id
 is a row like any other; an empty table gives an empty table; other columns are dropped unless named in `keep`.
@@ -41,7 +43,7 @@ _token = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 
 #: Candidate identifiers have this many characters.
 SHORTEST, LONGEST = 6, 64
-_candidate = "array<struct<context:string,value:string,begin:int,end:int,seed:boolean>>"
+_candidate = "array<struct<context:string,value:string,begin:int,end:int,seed:boolean,after:string>>"
 
 
 @dataclass(frozen=True)
@@ -96,11 +98,16 @@ def _context(text: str, begin: int) -> str:
     return re.sub("[0-9]", "0", " ".join(words))
 
 
-def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, str, int, int, bool]]:
-    """(context, value, begin, end, seed) of the base entities and of all other tokens with a digit."""
+def _after(text: str, end: int) -> str:
+    """The word after, in lower case, digits as 0."""
+    return re.sub("[0-9]", "0", " ".join(text[end : end + 80].lower().split()[:1]))
+
+
+def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, str, int, int, bool, str]]:
+    """(context, value, begin, end, seed, after) of the base entities and of all other tokens with a digit."""
     out, taken, done = [], sorted((b, e) for _, b, e in base), 0
     for b, e in taken:
-        out.append((_context(text, b), text[b:e], b, e, True))
+        out.append((_context(text, b), text[b:e], b, e, True, _after(text, e)))
     i = 0
     for m in _digits.finditer(text):
         if m.start() < done:
@@ -119,7 +126,7 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, s
             i += 1
         if any(b < end and begin < e for b, e in taken[max(0, i - 1) : i + 3]) or not SHORTEST <= end - begin <= LONGEST:
             continue
-        out.append((_context(text, begin), text[begin:end], begin, end, False))
+        out.append((_context(text, begin), text[begin:end], begin, end, False, _after(text, end)))
     return out
 
 
@@ -132,10 +139,10 @@ def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",))
     source = df.select(*[F.col(f"`{c}`") for c in keep], _row(keep, text).alias("row"), F.col(f"`{text}`").alias("__text"))
     more = [T.StructField("base", T.StringType()), T.StructField("found", T._parse_datatype_string(_candidate))]
     schema = T.StructType([*source.schema.fields[:-1], *more])
-    kind = pa.list_(pa.struct([("context", pa.string()), ("value", pa.string()), ("begin", pa.int32()), ("end", pa.int32()), ("seed", pa.bool_())]))
+    kind = pa.list_(pa.struct([("context", pa.string()), ("value", pa.string()), ("begin", pa.int32()), ("end", pa.int32()), ("seed", pa.bool_()), ("after", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("context", "value", "begin", "end", "seed")
+        names = ("context", "value", "begin", "end", "seed", "after")
         for batch in batches:
             bases, found = [], []
             for value in batch.column(batch.num_columns - 1):
@@ -152,25 +159,46 @@ def _row(keep: tuple[str, ...], text: str) -> Column:
     return F.xxhash64(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`"), F.lit("row"))
 
 
-def confident_contexts(scanned: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """context, score: the contexts whose other values are taken for personal data."""
-    edges = scanned.select(F.explode("found").alias("f")).where("f.context <> ''").groupBy("f.context", "f.value").agg(F.max("f.seed").alias("seed"))
-    edges = cut(edges)
-    scores, known = None, edges.withColumn("weight", F.col("seed").cast("double"))
+def _patterns() -> Column:
+    """The patterns of a candidate f: a kind and what it says; the longest context first."""
+    word, shape = F.substring_index("f.context", " ", -1), F.regexp_replace(F.regexp_replace(F.regexp_replace("f.value", "[0-9]", "0"), "[a-z]+", "a"), "[A-Z]+", "A")
+    one = F.when(F.col("f.context") != "", F.array(F.concat(F.lit("2 "), "f.context"), F.concat(F.lit("1 "), word), F.concat(F.lit("s "), word, F.lit(" "), shape)))
+    after = F.when(F.col("f.after") != "", F.array(F.concat(F.lit("a "), "f.after")))
+    return F.concat(F.coalesce(one, F.array().cast("array<string>")), F.coalesce(after, F.array().cast("array<string>")))
+
+
+def _least_share(w: str, n: str) -> Column:
+    """The lower end of Wilson's interval of 95 % for w of n."""
+    z, p = 1.96, F.col(w) / F.col(n)
+    return (p + z * z / (2 * F.col(n)) - z * F.sqrt(p * (1 - p) / F.col(n) + z * z / (4 * F.col(n) * F.col(n)))) / (1 + z * z / F.col(n))
+
+
+def confident_values(scanned: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """value, weight: the values that aren't entities and are taken for personal data.
+
+    The two words before count what is likely too. The patterns that say less count only what is sure, and score by the
+    lower bound of their share: where most identifiers are entities, a common word has a high share by chance."""
+    edges = scanned.select(F.explode("found").alias("f")).select(F.explode(_patterns()).alias("pattern"), "f.value", "f.seed")
+    edges = cut(edges.groupBy("pattern", "value").agg(F.max("seed").alias("seed")))
+    long = F.col("pattern").startswith("2 ")
+    sure = F.col("weight") >= settings.min_confidence
+    known = edges.withColumn("weight", F.col("seed").cast("double"))
     for _ in range(settings.rounds):
-        by_context = known.groupBy("context").agg(F.sum("weight").alias("w"), F.count("*").alias("n"), F.count_if("seed").alias("seeds"))
-        scores = cut(by_context.where(F.col("seeds") >= settings.min_seeds).select("context", (F.col("w") / (F.col("n") + settings.prior)).alias("score")))
-        doubt = edges.join(scores.where("score >= 0.5"), "context").groupBy("value").agg(F.sum(F.log1p(-F.least("score", F.lit(0.999)))).alias("doubt"))
-        known = cut(edges.join(doubt, "value", "left").withColumn("weight", F.when(F.col("seed"), 1.0).otherwise(1 - F.exp(F.coalesce("doubt", F.lit(0.0))))))
-    return scores.where(F.col("score") >= settings.min_confidence)
+        by_pattern = known.groupBy("pattern").agg(F.sum(F.when(long | sure, F.col("weight")).otherwise(0.0)).alias("w"), F.count("*").alias("n"), F.count_if(sure).alias("support"))
+        scores = cut(by_pattern.where(F.col("support") >= settings.min_seeds).select("pattern", F.when(long, F.col("w") / (F.col("n") + settings.prior)).otherwise(_least_share("w", "n")).alias("score")).where("score >= 0.5"))
+        doubt = F.sum(F.when(long, F.log1p(-F.least("score", F.lit(0.999)))).otherwise(0.0))
+        found = edges.join(scores, "pattern").groupBy("value").agg(doubt.alias("doubt"), F.max(F.when(long, 0.0).otherwise(F.col("score"))).alias("best"))
+        found = cut(found.select("value", F.greatest(1 - F.exp("doubt"), "best").alias("found")))
+        known = cut(edges.join(found, "value", "left").select("pattern", "value", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("found", F.lit(0.0))).alias("weight")))
+    return known.where(~F.col("seed") & sure).groupBy("value").agg(F.max("weight").alias("weight"))
 
 
 def extract(df: DataFrame, settings: Settings = Settings(), text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep`, row, n_email, n_ip, n_card, n_phone, n_other, base_sha256 and spans, `kind:begin:end` joined by commas."""
     scanned = cut(scan(df, text, keep))
-    contexts = confident_contexts(scanned, settings)
-    other = scanned.where(F.exists("found", lambda f: ~f["seed"])).select("row", F.explode("found").alias("f")).where("not f.seed").select("row", F.col("f.context").alias("context"), F.col("f.begin").alias("begin"), F.col("f.end").alias("end"))
-    added = other.join(contexts, "context", "left_semi").groupBy("row").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("added"))
+    values = confident_values(scanned, settings)
+    other = scanned.where(F.exists("found", lambda f: ~f["seed"])).select("row", F.explode("found").alias("f")).where("not f.seed").select("row", F.col("f.value").alias("value"), F.col("f.begin").alias("begin"), F.col("f.end").alias("end"))
+    added = other.join(values, "value", "left_semi").groupBy("row").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("added"))
     both = scanned.join(added, "row", "left")
     extra = F.coalesce(F.array_join(F.transform("added", lambda a: F.concat_ws(":", F.lit("other"), a["begin"], a["end"])), ","), F.lit(""))
     count = lambda kind: F.size(F.filter(F.split("base", ","), lambda s: s.startswith(kind + ":"))).cast("long")

@@ -65,3 +65,14 @@ def test_contexts_of_seeds_find_other_identifiers(spark):
 def test_masked_joins_overlapping_spans():
     assert pii.masked("ab 1234 cd", "card:3:7,other:2:6") == "ab[OTHER] cd"
     assert pii.masked("x", "") == "x"
+
+
+def test_what_is_found_spreads(spark):
+    ids = [f"zk-{i:02}-77-{100 + i}" for i in range(25)]
+    rows = [(i, f"word{i % 7} call me under +1 234 555 {1000 + i} thanks") for i in range(200)]
+    rows += [(300 + i, f"call me under {v} thanks") for i, v in enumerate(ids[:20])]  # found beside the seeds
+    rows += [(400 + i, f"my staff badge {v} today") for i, v in enumerate(ids)]  # a context without any seed: five more
+    rows += [(500, f"{ids[0]}"), (501, f"odd words here {ids[24]} stand"), (502, "odd words here qq-12-34-567 stand")]
+    out = {r.doc_id: r for r in pii.extract(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[300 + i].n_other == 1 for i in range(20)) and all(out[400 + i].n_other == 1 for i in range(25))
+    assert out[500].spans == "other:0:12" and out[501].n_other == 1 and out[502].n_other == 0
