@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import pytest
 from metrolith.llm import near_dup as N
@@ -27,7 +28,7 @@ def plain(rows, percent, k):
             if rows[i][0] is None or rows[j][0] is None:
                 continue
             both = len(sets[i] & sets[j])
-            if rows[i][0] == rows[j][0] and sets[i] and sets[j] or both and 100 * both >= percent * len(sets[i] | sets[j]):
+            if rows[i][0] == rows[j][0] and sets[i] and sets[j] or both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                 parent[root(i)] = root(j)
     least = {}
     for i, (id_, _) in enumerate(rows):
@@ -48,7 +49,7 @@ def planted(seed):
                 base = text  # a chain: each copy close to the last
             rows.append((0, draw.choice([" ", "\n"]).join(w.upper() if draw.random() < 0.2 else w for w in text)))
     rows = [(i * 3 % 1009, t) for i, (_, t) in enumerate(rows)]
-    return [*rows, (2000, None), (2001, ""), (2002, " \n"), (2003, "one"), (2004, "ONE"), (2005, "two words"), (2006, "É a b"), (2007, "é a b"), (2008, "a b c a b c a b c"), (2009, "a b c a b c"), (None, rows[0][1]), (None, ""), rows[0], rows[1]]
+    return [*rows, (2000, None), (2001, ""), (2002, " \n"), (2003, "one"), (2004, "ONE"), (2005, "two words"), (2006, "É a b"), (2007, "é a b"), (2008, "a b c a b c a b c"), (2009, "a b c a b c"), (None, rows[0][1]), (None, ""), rows[0], rows[1], (3000, "p q r s"), (3001, "k l m n"), (3001, "p q r s"), (3002, "k l m n"), (3002, "f g h i"), (3001, "")]
 
 
 @pytest.mark.parametrize("seed,percent,k", [(1, 85, 3), (2, 80, 5)])
@@ -65,6 +66,39 @@ def test_matches_brute_force_on_the_driver_table(spark):
     assert N.find(docs.where("false"), 85, 3).count() == 0
 
 
+def edited(draw, base, most):
+    """Each copy loses, gains or changes up to `most` words."""
+    words = list(base)
+    for _ in range(draw.randrange(most)):
+        i = draw.randrange(len(words))
+        words[i : i + 1] = draw.choice([[], [words[i], words[i]], [f"v{draw.randrange(40)}"]])
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("percent,k", [(85, 3), (80, 5)])
+def test_a_large_group_of_near_copies_matches_brute_force(spark, percent, k):
+    draw = random.Random(percent)
+    base = [f"w{draw.randrange(10**6)}" for _ in range(120)]
+    rows = [(i * 7 % 1201, edited(draw, base, 20)) for i in range(600)]
+    expected = plain(rows, percent, k)
+    sizes = Counter(r[2] for r in expected)
+    assert len(sizes) > 50 < max(sizes.values())
+    assert sorted((tuple(r) for r in N.find(spark.createDataFrame(rows, "doc_id long, text string"), percent, k).collect()), key=str) == expected
+
+
+def test_pairs_across_components_are_the_links(spark):
+    """Without stars every class is a component of its own; the hubs must find all links, in pairs or through themselves."""
+    draw = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, edited(draw, base, 12)) for i in range(150)] + [(200 + i, edited(draw, [f"y{j}" for j in range(9)], 3)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    banded = docs.select(F.lit(1).alias("band"), F.col("id").alias("node"))
+    near = N._against_hubs(banded, spark.createDataFrame([], "node long, component long"), docs, 85, 3)
+    direct = near.where("linked and component <> hub").selectExpr("node a", "hub b")
+    labels = dict(N.components(N.confirm(direct.unionAll(N._across(near, 85)), docs, 85, 3)).collect())
+    assert all(labels.get(i, i) == c for i, _, c, _ in plain(rows, 85, 3))
+
+
 def test_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(70)] + [(200, 201), (202, 201)], "a long, b long")
     out = dict(N.components(edges).collect())
