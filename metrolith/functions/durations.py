@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NUMBER = r"^\s*[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*$"
@@ -37,6 +37,12 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def worked_out(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with more columns that later steps only refer to: behind a generator of one row, no filter or projection on them
+    is rewritten in terms of what they are made of, which would repeat it for each mention."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
 def seconds(text: Column, bpm: Column) -> Column:
     waits = text.contains("##")
     bound = F.struct(
@@ -89,9 +95,13 @@ def slide_times(text: Column, bpm: Column, strict: bool = False) -> Column:
 
 def fraction(beats: Column) -> Column:
     """`D:M` with the first denominator that fits within two per cent, else null."""
-    tried = F.array(*[F.struct(F.lit(d).alias("d"), F.rint(beats * d).alias("m"), (beats * d).alias("y")) for d in DENOMINATORS])
-    fits = F.filter(tried, lambda t: (t["m"] > 0) & (F.abs(t["y"] - t["m"]) / F.greatest(t["m"], F.lit(1.0)) < OFF))
-    return F.when(F.size(fits) > 0, F.concat_ws(":", F.get(fits, F.lit(0))["d"].cast("string"), F.get(fits, F.lit(0))["m"].cast("long").cast("string")))
+
+    def fits(d: Column) -> Column:
+        m = F.rint(beats * d)
+        return (m > 0) & (F.abs(beats * d - m) / F.greatest(m, F.lit(1.0)) < OFF)
+
+    first = F.get(F.filter(F.array(*[F.lit(d) for d in DENOMINATORS]), fits), F.lit(0))
+    return let(first, lambda d: F.when(d.isNotNull(), F.concat_ws(":", d.cast("string"), F.rint(beats * d).cast("long").cast("string"))))
 
 
 def decimal(value: Column, places: int) -> Column:
@@ -108,7 +118,6 @@ def written(length: Column, bpm: float) -> Column:
 def slide_written(wait: Column, trace: Column, bpm: float) -> Column:
     """The bracket of a slide's segment: plain if the wait is the default, else at the bpm whose whole note is the wait.
     No trace writes nothing; a wait of zero can't be written and gives null."""
-    own = F.try_divide(F.lit(240.0), wait)
-    at_own = F.concat(decimal(own, 4), F.lit("#"), F.coalesce(fraction(trace * own / 240.0), decimal(trace, 6)))
+    at_own = let(F.try_divide(F.lit(240.0), wait), lambda own: F.concat(decimal(own, 4), F.lit("#"), F.coalesce(fraction(trace * own / 240.0), decimal(trace, 6))))
     inner = F.when(F.abs(wait - 240.0 / bpm) < 0.005, written(trace, bpm)).otherwise(at_own)
     return F.when(trace > 0, F.concat(F.lit("["), inner, F.lit("]"))).otherwise(F.lit(""))

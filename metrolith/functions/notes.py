@@ -243,9 +243,8 @@ def _written_slide(n: Column, bpm: float) -> Column:
         joint = F.when(i == 0, lead).when(s["start_lane"] == F.get(segments, i - 1)["end_lane"], "").when(s["start_lane"] == first["start_lane"], "*").otherwise(s["start_lane"].cast("string"))
         return F.concat(joint, mark(s), F.coalesce(s["middle_lane"].cast("string"), F.lit("")), s["end_lane"].cast("string"), D.slide_written(s["wait_sec"], s["trace_sec"], bpm))
 
-    texts = F.transform(segments, one)
     end = F.when(F.try_element_at(segments, F.lit(-1))["slide_break"], "b").otherwise("")
-    return F.when(~F.exists(texts, lambda t: t.isNull()), F.concat(F.array_join(texts, ""), end))
+    return D.let(F.transform(segments, one), lambda texts: F.when(~F.exists(texts, lambda t: t.isNull()), F.concat(F.array_join(texts, ""), end)))
 
 
 def written(n: Column, bpm: float) -> Column:

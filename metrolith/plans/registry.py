@@ -212,11 +212,9 @@ _CLOCK = """s AS (SELECT user_id AS chart, event_id, row_number() OVER (PARTITIO
 
 @query("running_clock", f"WITH {_CLOCK} SELECT chart, CAST(slot AS INTEGER) AS slot, bpm, len AS comma_sec, time_sec FROM t")
 def running_clock(spark: SparkSession, d: str) -> DataFrame:
-    return parse.clock(parse.slots(parse.levels(_texts(spark, d)))).where("raw <> '' or slot >= 0").select("chart", "slot", "bpm", "comma_sec", "time_sec").join(_slot_counts(spark, d), "chart").where("slot < n").drop("n")
-
-
-def _slot_counts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy(F.col("user_id").alias("chart")).agg(F.count("*").alias("n"))
+    timed = parse.clock(parse.slots(parse.levels(_texts(spark, d))))
+    each = timed.select("chart", "slot", "bpm", "comma_sec", "time_sec", F.posexplode(F.array_repeat(F.lit(0), "many")).alias("i", "_"))
+    return each.select("chart", (F.col("slot") + F.col("i")).alias("slot"), "bpm", "comma_sec", (F.col("time_sec") + F.col("i") * F.col("comma_sec")).alias("time_sec"))
 
 
 @query("parse_notation", f"""WITH {_CLOCK} SELECT chart, time_sec, CASE WHEN event_id % 2 = 0 THEN 'HOLD' ELSE 'TAP' END AS type, CAST(event_id % 8 + 1 AS INTEGER) AS lane, event_id % 2 = 1 AS is_break,
