@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,10 +10,14 @@ from pyspark.sql import functions as F
 
 
 def ready(spark: SparkSession) -> None:
-    """Makes checkpoint() usable: the folder in spark.checkpoint.dir, or where that is unset (tests) one of our own."""
+    """Makes checkpoint() usable: the folder in spark.checkpoint.dir. Where that is unset, one of our own if Spark runs in this
+    process alone; on a cluster, whose executors would not see it, an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -27,6 +27,11 @@ BLOCK = "verdict=block"
 @dataclass(frozen=True)
 class Settings:
     min_support: float = 0.002
+    #: A rule stands on this many blocked pages at least, however few pages have labels.
+    min_pages: int = 10
+    #: For mining, a labelled page counts with this many of its frequent tokens, those that are blocked most often: n tokens
+    #: that always stand together have 2^n subsets. URLs are judged by all of their tokens.
+    basket_tokens: int = 12
     min_confidence: float = 0.6
     min_lift: float = 1.5
     #: Rules up to this number are sent to every task; beyond it, the index is joined by shuffle.
@@ -68,11 +73,20 @@ def tokens(url: Column) -> Column:
 
 def mine(labelled: DataFrame, settings: Settings = Settings()) -> DataFrame | None:
     """labelled: url, bad (boolean). Rules (rule, tokens, key, confidence, support), or None if there are none."""
-    baskets = labelled.where(F.col("bad").isNotNull()).select(F.concat(tokens(F.col("url")), F.when(F.col("bad"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))).alias("items"))
-    baskets = cut(baskets.where(F.size("items") > 0))
-    if baskets.isEmpty():
+    pages = labelled.where(F.col("bad").isNotNull()).select("bad", tokens(F.col("url")).alias("held"), F.monotonically_increasing_id().alias("page"))
+    pages = cut(pages.where(F.col("bad") | (F.size("held") > 0)))
+    n = pages.count()
+    if n < settings.min_pages:
         return None
-    model = FPGrowth(itemsCol="items", minSupport=settings.min_support, minConfidence=settings.min_confidence).fit(baskets)
+    support = max(settings.min_support, settings.min_pages / n)
+    each = pages.select("page", "bad", F.explode("held").alias("token"))
+    counts = each.groupBy("token").agg(F.count("*").alias("n"), F.avg(F.col("bad").cast("double")).alias("share")).where(F.col("n") >= support * n)
+    # At most tokens of a page / support rows, whatever the number of pages.
+    best = each.join(F.broadcast(counts), "token").groupBy("page").agg(F.array_sort(F.collect_list(F.struct((-F.col("share")).alias("share"), (-F.col("n")).alias("n"), "token"))).alias("best"))
+    kept = F.transform(F.slice("best", 1, settings.basket_tokens), lambda b: b["token"])
+    none = F.array().cast("array<string>")
+    baskets = cut(pages.join(best, "page", "left").select(F.concat(F.coalesce(kept, none), F.when(F.col("bad"), F.array(F.lit(BLOCK))).otherwise(none)).alias("items")))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=settings.min_confidence).fit(baskets)
     found = model.associationRules.where((F.col("consequent") == F.array(F.lit(BLOCK))) & (F.col("lift") >= settings.min_lift))
     common = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
     rules = cut(found.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support").withColumn("rule", F.array_join("tokens", " ")))

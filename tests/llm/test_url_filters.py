@@ -36,3 +36,11 @@ def test_mined_rules_match_brute_force(spark):
     for r in out:
         assert (r.verdict == "block") == any(s <= held[r.url] for s in sets), r.url
     assert U.mine(labelled.where("bad is null")) is None
+
+
+def test_long_urls_end_in_seconds_and_rules_need_pages(spark):
+    path = "/".join(f"s{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40))
+    rows = [(f"http://spam.org/{path}", True)] * 15 + [(f"http://good{'abcde'[i % 5]}.org/{path}/x", False) for i in range(45)] + [("http://rare.org/odd/page", True)] * 3
+    rules = U.mine(spark.createDataFrame(rows, "url string, bad boolean")).collect()
+    assert ["host:spam"] in [r.tokens for r in rules] and not any("host:rare" in r.tokens for r in rules)
+    assert U.mine(spark.createDataFrame(rows[:4], "url string, bad boolean")) is None
