@@ -63,10 +63,13 @@ class _Open:
         self.name, self.hides, self.article = name, hides, article
 
 
-def _marked(attributes: str) -> str:
-    """comment or other if the attributes mark an element as not part of the article, else nothing."""
+def _marked(attributes: str, words: bool) -> str:
+    """comment or other if the attributes mark an element as not part of the article, else nothing; without `words`, only
+    what isn't shown counts."""
     if not attributes:
         return ""
+    if not words:
+        return "other" if _hidden.search(attributes) else ""
     found = {w.lower() for m in _attribute.finditer(attributes) for w in _words.findall(m.group(2) or m.group(3) or m.group(4) or "")}
     if found & COMMENTS:
         return "comment"
@@ -74,7 +77,13 @@ def _marked(attributes: str) -> str:
 
 
 def blocks(page: str) -> tuple[list[str], list[str]]:
-    """(blocks of articles, other blocks that aren't ruled out), white space reduced and references decoded."""
+    """(blocks of articles, other blocks that aren't ruled out), white space reduced and references decoded. If words in
+    attributes rule out all there is, they don't count, so such words never empty a page."""
+    main, rest = _blocks(page, True)
+    return (main, rest) if main or rest else _blocks(page, False)
+
+
+def _blocks(page: str, words: bool) -> tuple[list[str], list[str]]:
     main: list[str] = []
     open_blocks: list[str] = []
     stack: list[_Open] = []
@@ -139,7 +148,7 @@ def blocks(page: str) -> tuple[list[str], list[str]]:
                         break
                     if stack[i].name in BLOCKS:
                         break
-            marked = _marked(m.group(3))
+            marked = _marked(m.group(3), words)
             article = name in ("article", "main")
             if article and not marked and hidden and hidden != "comment":
                 flush()

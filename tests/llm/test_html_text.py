@@ -32,6 +32,14 @@ def test_broken_markup():
         H.blocks(page)
 
 
+def test_words_in_attributes_never_empty_a_page():
+    assert text('<div class="page no-sidebar"><p>the whole article text</p></div>') == "the whole article text"
+    assert text('<body><div id="comments"><p>all there is</p></div><script>x</script></body>') == "all there is"
+    assert text('<div class="sidebar">side</div><p>own</p>') == "own" and text("<nav>menu</nav><p hidden>no</p>") == ""
+    long = "<article>" + "".join(f"<p>{'word ' * 50}{i}</p>" for i in range(20_000)) + "</article>"
+    assert text(long).count("\n") == 19_999
+
+
 def test_driver_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     out = {r.page_id: r for r in H.extract(pages).collect()}
