@@ -41,13 +41,17 @@ _phone = re.compile(PHONE)
 _digits = re.compile(r"[0-9]+")
 _token = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789@._+-/")
 
-#: Candidate identifiers have this many characters.
-SHORTEST, LONGEST = 6, 64
 _candidate = "array<struct<context:string,value:string,begin:int,end:int,seed:boolean,after:string>>"
 
 
 @dataclass(frozen=True)
 class Settings:
+    """What the method adds is found among tokens of `shortest` to `longest` characters, by words that stand within `reach`
+    characters before or behind; base spans have no such bounds."""
+
+    shortest: int = 6
+    longest: int = 64
+    reach: int = 80
     rounds: int = 3
     min_seeds: int = 3
     min_confidence: float = 0.8
@@ -92,30 +96,30 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _context(text: str, begin: int) -> str:
-    """The two words before, in lower case, digits as 0; words are looked for within 80 characters."""
-    words = text[max(0, begin - 80) : begin].lower().split()[-2:]
+def _context(text: str, begin: int, reach: int) -> str:
+    """The two words before, in lower case, digits as 0."""
+    words = text[max(0, begin - reach) : begin].lower().split()[-2:]
     return re.sub("[0-9]", "0", " ".join(words))
 
 
-def _after(text: str, end: int) -> str:
+def _after(text: str, end: int, reach: int) -> str:
     """The word after, in lower case, digits as 0."""
-    return re.sub("[0-9]", "0", " ".join(text[end : end + 80].lower().split()[:1]))
+    return re.sub("[0-9]", "0", " ".join(text[end : end + reach].lower().split()[:1]))
 
 
-def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, str, int, int, bool, str]]:
+def candidates(text: str, base: list[tuple[str, int, int]], settings: Settings = Settings()) -> list[tuple[str, str, int, int, bool, str]]:
     """(context, value, begin, end, seed, after) of the base entities and of all other tokens with a digit."""
     out, taken, done = [], sorted((b, e) for _, b, e in base), 0
     for b, e in taken:
-        out.append((_context(text, b), text[b:e], b, e, True, _after(text, e)))
+        out.append((_context(text, b, settings.reach), text[b:e], b, e, True, _after(text, e, settings.reach)))
     i = 0
     for m in _digits.finditer(text):
         if m.start() < done:
             continue
         begin, end = m.span()
-        while begin > done and text[begin - 1] in _token and end - begin <= LONGEST:
+        while begin > done and text[begin - 1] in _token and end - begin <= settings.longest:
             begin -= 1
-        while end < len(text) and text[end] in _token and end - begin <= LONGEST:
+        while end < len(text) and text[end] in _token and end - begin <= settings.longest:
             end += 1
         done = end
         while end > begin and text[end - 1] in "._+-/@":
@@ -124,9 +128,9 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, s
             begin += 1
         while i < len(taken) and taken[i][1] <= begin:
             i += 1
-        if any(b < end and begin < e for b, e in taken[max(0, i - 1) : i + 3]) or not SHORTEST <= end - begin <= LONGEST:
+        if any(b < end and begin < e for b, e in taken[max(0, i - 1) : i + 3]) or not settings.shortest <= end - begin <= settings.longest:
             continue
-        out.append((_context(text, begin), text[begin:end], begin, end, False, _after(text, end)))
+        out.append((_context(text, begin, settings.reach), text[begin:end], begin, end, False, _after(text, end, settings.reach)))
     return out
 
 
@@ -134,7 +138,7 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{b}:{e}" for k, b, e in spans)
 
 
-def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), settings: Settings = Settings()) -> DataFrame:
     """`keep`, row (a hash of what is kept and the text), base (the base spans joined), and found, the candidates."""
     source = df.select(*[F.col(f"`{c}`") for c in keep], _row(keep, text).alias("row"), F.col(f"`{text}`").alias("__text"))
     more = [T.StructField("base", T.StringType()), T.StructField("found", T._parse_datatype_string(_candidate))]
@@ -149,7 +153,7 @@ def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",))
                 t = value.as_py() or ""
                 base = base_spans(t)
                 bases.append(joined(base))
-                found.append([dict(zip(names, c, strict=True)) for c in candidates(t, base)])
+                found.append([dict(zip(names, c, strict=True)) for c in candidates(t, base, settings)])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(bases, pa.string()), pa.array(found, kind)], names=schema.fieldNames())
 
     return source.mapInArrow(run, schema)
@@ -195,7 +199,7 @@ def confident_values(scanned: DataFrame, settings: Settings = Settings()) -> Dat
 
 def extract(df: DataFrame, settings: Settings = Settings(), text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep`, row, n_email, n_ip, n_card, n_phone, n_other, base_sha256 and spans, `kind:begin:end` joined by commas."""
-    scanned = cut(scan(df, text, keep))
+    scanned = cut(scan(df, text, keep, settings))
     values = confident_values(scanned, settings)
     other = scanned.where(F.exists("found", lambda f: ~f["seed"])).select("row", F.explode("found").alias("f")).where("not f.seed").select("row", F.col("f.value").alias("value"), F.col("f.begin").alias("begin"), F.col("f.end").alias("end"))
     added = other.join(values, "value", "left_semi").groupBy("row").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("added"))
