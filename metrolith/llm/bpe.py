@@ -14,7 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Characters of text in one block, and words kept by a worker between blocks.
-BLOCK_CHARS, KEPT_WORDS = 4_000_000, 400_000
+BLOCK_CHARS, KEPT_WORDS = 2_000_000, 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -158,7 +158,7 @@ class BlockEncoder:
 _ENCODERS: dict[tuple[str, str], BlockEncoder] = {}
 
 
-def _blocks(texts: list[str | None]) -> Iterator[list[str]]:
+def _blocks(texts: Iterable[str | None]) -> Iterator[list[str]]:
     block, chars = [], 0
     for t in texts:
         block.append(t or "")
@@ -170,20 +170,24 @@ def _blocks(texts: list[str | None]) -> Iterator[list[str]]:
         yield block
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep` and ids array<int>: each whole text by the ranks in `path`, each match of `pattern` on its own."""
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded: bool = False) -> DataFrame:
+    """`keep` and ids array<int>: each whole text by the ranks in `path`, each match of `pattern` on its own. decoded: also
+    bytes, what the ids stand for, as decode() adds it, without a second Python worker for each task."""
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
-    schema = T.StructType([*source.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)])
+    more = [T.StructField("bytes", T.BinaryType(), False)] if decoded else []
+    schema = T.StructType([*source.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType(), False), False), *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _ENCODERS.get((path, pattern)) or _ENCODERS.setdefault((path, pattern), BlockEncoder(path, pattern))
         for batch in batches:
             at = 0
-            for block in _blocks(batch.column(batch.num_columns - 1).to_pylist()):
+            for block in _blocks(v.as_py() for v in batch.column(batch.num_columns - 1)):
                 ids = own.encode(block)
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 arrays = [batch.column(i).slice(at, len(block)) for i in range(batch.num_columns - 1)]
                 arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids))))
+                if decoded:
+                    arrays.append(pa.array([decode_ids(x, path) for x in ids], pa.binary()))
                 at += len(block)
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.fieldNames())
 
