@@ -58,7 +58,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens, ids_sha256, and decoded_sha256 of what the ids stand for."""
     path = public_tokenizers.path(TOKENIZER)
-    coded = bpe.id_digest(bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path))
+    coded = bpe.id_digest(bpe.encode(docs, path, public_tokenizers.PATTERN, decoded=True))
     return coded.select("doc_id", "ids", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
