@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from metrolith.functions import vocabulary as V
+from metrolith.functions.durations import let
 
 
 def centiseconds(seconds: Column) -> Column:
@@ -49,10 +50,16 @@ def without_padding(tokens: Column) -> Column:
 
 
 def time_of_each(tokens: Column) -> Column:
-    """For each place the last time token up to there, null before the first."""
-    is_time = lambda t: t.between(V.TS_BASE, V.TS_BASE + V.TS_COUNT - 1)
-    start = F.array().cast("array<int>")
-    return F.aggregate(tokens, start, lambda seen, t: F.concat(seen, F.array(F.when(is_time(t), t).otherwise(F.try_element_at(seen, F.lit(-1))))))
+    """For each place the last time token up to there, null before the first. Each time token is repeated up to the next."""
+    placed = F.transform(tokens, lambda t, i: F.struct(t.alias("token"), i.alias("place")))
+    times = F.filter(placed, lambda s: s["token"].between(V.TS_BASE, V.TS_BASE + V.TS_COUNT - 1))
+
+    def spread(known: Column) -> Column:
+        behind = lambda i: F.coalesce(F.get(known["times"], i)["place"], known["n"])
+        none = F.array_repeat(F.lit(None).cast("int"), behind(F.lit(0)))
+        return F.concat(none, F.flatten(F.transform(known["times"], lambda s, i: F.array_repeat(s["token"], behind(i + 1) - s["place"]))))
+
+    return let(F.struct(times.alias("times"), F.size(tokens).alias("n")), spread)
 
 
 def up_to_last_frame(tokens: Column) -> Column:

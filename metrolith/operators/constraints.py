@@ -80,7 +80,10 @@ class _State:
 
 
 def violations(frames: DataFrame, keys: tuple[str, ...] = ("chart", "level")) -> DataFrame:
-    """Every violation in order: keys, rule, time_sec, place. A frame counts once; what it refuses leaves no trace."""
+    """Every violation in order: keys, rule, time_sec, place. A frame counts once; what it refuses leaves no trace.
+
+    Where all that was used before has come to rest, refused or not, nothing earlier matters: a group is cut into runs there
+    and each run is folded on its own."""
     n_keys = len(keys)
 
     def fact(n):
@@ -91,6 +94,12 @@ def violations(frames: DataFrame, keys: tuple[str, ...] = ("chart", "level")) ->
         return F.struct(kind.alias("kind"), spot.alias("spot"), held.alias("until"), F.array_join(N.note_tokens(n), " ").alias("text"), N.durations_are_valid(n).alias("fits"))
 
     read = frames.select(*keys, "time_sec", centiseconds(F.col("time_sec")).alias("cs"), N.frame_is_valid(F.col("notes")).alias("ok"), F.transform("notes", fact).alias("facts"))
+    order = Window.partitionBy(*keys).orderBy("time_sec")
+    held = F.array_max(F.transform("facts", lambda n: n["until"]))
+    busy = F.greatest(F.col("cs") + (V.PRESS_GAP_CS - 1), F.col("cs") + held + V.RELEASE_CS)
+    rested = F.col("cs") > F.max("__busy").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = read.withColumn("__busy", busy).withColumn("__new", F.when(rested, 1).otherwise(0))
+    runs = marked.withColumn("__run", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__busy", "__new")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields[:n_keys]] + [VIOLATION])
 
     def fold(key: tuple, table: pa.Table) -> pa.Table:
@@ -108,11 +117,11 @@ def violations(frames: DataFrame, keys: tuple[str, ...] = ("chart", "level")) ->
             if rule:
                 out.append((rule, row["time_sec"], place))
         names = [*keys, "rule", "time_sec", "place"]
-        columns = [pa.array([k.as_py()] * len(out), k.type) for k in key]
+        columns = [pa.array([k.as_py()] * len(out), k.type) for k in key[:n_keys]]
         columns += [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.float64(), pa.string()))]
         return pa.Table.from_arrays(columns, names=names)
 
-    return read.groupBy(*keys).applyInArrow(fold, schema)
+    return runs.groupBy(*keys, "__run").applyInArrow(fold, schema)
 
 
 def dense(events: DataFrame, keys: tuple[str, ...], span: int, most: int, time: str = "cs") -> DataFrame:

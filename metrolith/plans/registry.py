@@ -157,7 +157,7 @@ def accepted_charts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("rejected_charts", f"WITH {crowded_sql(5, 3)} SELECT DISTINCT chart FROM ({_BAD})")
 def rejected_charts(spark: SparkSession, d: str) -> DataFrame:
-    return constraints.violations(T.frames(spark, d), ("chart",)).select("chart").distinct()
+    return constraints.conflicts(T.frames(spark, d), ("chart",))
 
 
 @query("violations")
@@ -412,13 +412,7 @@ def disturbed_features(spark: SparkSession, d: str) -> DataFrame:
 @query("token_batches", """WITH r AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS i FROM events) SELECT event_id, i // 64 AS batch, CAST(i % 64 AS INTEGER) AS place FROM r""")
 def token_batches(spark: SparkSession, d: str) -> DataFrame:
     """Batches of 64 in the order of event_id. Rows are numbered by counts of ranges, not in one task."""
-    e = table(spark, d, "events").select("event_id")
-    span = F.floor(F.col("event_id") / 4096)
-    starts = e.groupBy(span.alias("span")).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = starts.select("span", before.alias("before"))
-    placed = e.withColumn("span", span).withColumn("own", F.row_number().over(Window.partitionBy("span").orderBy("event_id")) - 1)
-    dense = placed.join(offsets, "span").select("event_id", (F.col("own") + F.col("before")).alias("i"))
+    dense = windows.numbered(table(spark, d, "events").select("event_id"), "event_id").withColumnRenamed("place", "i")
     return windows.batches(dense, 64, "i").select("event_id", "batch", "place")
 
 
