@@ -1,12 +1,15 @@
 """Constraints, matching, lookup, windows, splits, configuration and materialised tables against plain versions."""
 
+import hashlib
 import json
 import random
 
 import pytest
 from metrolith import config
 from metrolith.functions import notes as N
-from metrolith.operators import constraints, lookup, matching, split, windows
+from metrolith.functions import quantize as Q
+from metrolith.functions import vocabulary as V
+from metrolith.operators import constraints, lookup, matching, segments, split, windows
 from metrolith.plans import charts as C
 from metrolith.sources import charts as S
 from metrolith.sources import materialise
@@ -123,6 +126,63 @@ def test_split_keeps_groups_together(spark):
     assert split.sample_groups(rows, "g", 3).select("g").distinct().count() == 3
 
 
+@pytest.mark.parametrize(("n", "ratio"), [(1, 0.15), (40, 0.15), (700, 0.15), (40, 1.0)])
+def test_validation_groups_are_the_first_by_hash(spark, n, ratio):
+    got = {r["g"] for r in split.validation_groups(spark.range(3 * n).select((F.col("id") % n).alias("g")), "g", ratio, 42).collect()}
+    assert got == set(sorted(range(n), key=lambda g: (hashlib.md5(f"42:{g}".encode()).hexdigest(), g))[: max(1, int(n * ratio))])
+
+
+def test_validation_groups_of_no_rows(spark):
+    assert split.validation_groups(spark.range(0).withColumnRenamed("id", "g"), "g", 0.15, 42).count() == 0
+
+
+def test_numbers_are_dense_and_in_order(spark):
+    draw = random.Random(9)
+    ids = [None, -9000, -1, 0, 5, 5, 2**40, 2**40 + 1] + [draw.randrange(0, 3000) for _ in range(200)]
+    got = windows.numbered(spark.createDataFrame([(i,) for i in ids], "id long"), "id", 8).orderBy("place").collect()
+    assert [r["place"] for r in got] == list(range(len(ids)))
+    assert [r["id"] for r in got] == sorted(ids, key=lambda i: (i is not None, i or 0))
+
+
+def test_segments_in_runs_follow_the_sequential_rule(spark):
+    draw = random.Random(3)
+    rows = []
+    for chart in range(40):
+        reach = draw.choice([6000, 20_000, 90_000])
+        times = {draw.randrange(-5000 if chart % 4 == 0 else 0, reach) for _ in range(draw.choice([1, 8, 30]))}
+        rows += [(chart, cs, 1, draw.choice([None, None, draw.randrange(1, 8000)])) for cs in sorted(times)]
+    want = []
+    for chart in range(40):
+        offset = end = None
+        for cs, hold in ((r[1], r[3]) for r in rows if r[0] == chart):
+            at, until = cs / 100.0, cs / 100.0 + (hold or 0) / 100.0
+            if offset is None:
+                offset, end = 0.0, until
+                want.append([chart, offset, 1])
+                continue
+            end = max(end, until)
+            if end - offset > 30.0:
+                offset, end = at, until
+                want.append([chart, offset, 0])
+            want[-1][2] += 1
+    got = segments.cut(taps(spark, rows)).orderBy("chart", "segment").collect()
+    assert [[r["chart"], r["offset_sec"], sum(t == V.FRAME_START for t in r["tokens"])] for r in got] == sorted(want)  # numbered by offset
+
+
+def test_time_of_each_repeats_the_last_time(spark):
+    draw = random.Random(4)
+    some = [[], [3], [V.TS_BASE], [3, 4]] + [[draw.choice([V.SOS, V.FRAME_START, V.TS_BASE + draw.randrange(0, 3000)]) for _ in range(draw.randrange(1, 50))] for _ in range(40)]
+    want = []
+    for tokens in some:
+        last, each = None, []
+        for t in tokens:
+            last = t if V.TS_BASE <= t < V.TS_BASE + V.TS_COUNT else last
+            each.append(last)
+        want.append(each)
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(some)], "i int, t array<int>").select("i", Q.time_of_each(F.col("t")).alias("s")).orderBy("i").collect()
+    assert [r["s"] for r in got] == want
+
+
 def test_config_rules():
     good = json.loads(config.as_json(config.Config()))
     assert config.load(good) == config.Config()
