@@ -9,26 +9,13 @@ from metrolith.functions import durations as D
 from metrolith.functions import notes as N
 from metrolith.functions import quantize as Q
 from metrolith.operators import augment, constraints, decode, lookup, matching, metrics, parse, render, segments, split, windows
+from metrolith.plans import cases  # noqa: F401  (adds its queries)
 from metrolith.plans import tables as T
-from metrolith.plans.tables import FRAMES, NOTES, USES, crowded_sql, table, token_sql
+from metrolith.plans.named import QUERIES, SQL, query
+from metrolith.plans.tables import FRAMES, MEMBERS, NOTES, TEN, USES, crowded_sql, table, token_sql
 
-TEN = windows.Windows(stride=10.0)
 _text = lambda c: F.array_join(c, " ")
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def put(function):
-        QUERIES[name] = function
-        if sql:
-            SQL[name] = sql
-        return function
-
-    return put
-
-
 # Quantising and encoding
 
 
@@ -87,17 +74,13 @@ def rotate8(spark: SparkSession, d: str) -> DataFrame:
 
 # Windows
 
-_MEMBERS = f"""{FRAMES}, near AS (SELECT chart, time_sec, body, unnest(generate_series(CAST(greatest(0, floor((time_sec - 10.01) / 10)) AS BIGINT), CAST(floor((time_sec + 6.01) / 10) AS BIGINT))) AS k FROM frames),
-  placed AS (SELECT *, CAST(round_even((time_sec - (k * 10.0::DOUBLE - 12)) * 100, 0) AS BIGINT) AS rel_cs FROM near),
-  members AS (SELECT *, CASE WHEN rel_cs < 1200 THEN 'prefix' ELSE 'target' END AS part FROM placed WHERE rel_cs >= 600 AND rel_cs < 2200)"""
-
 
-@query("window_members", f"WITH {_MEMBERS} SELECT chart, time_sec, k, rel_cs, part FROM members")
+@query("window_members", f"WITH {MEMBERS} SELECT chart, time_sec, k, rel_cs, part FROM members")
 def window_members(spark: SparkSession, d: str) -> DataFrame:
     return windows.members(T.frames(spark, d).select("chart", "time_sec"), TEN).select("chart", "time_sec", "k", "rel_cs", "part")
 
 
-@query("window_index", f"""WITH {_MEMBERS}, coded AS (SELECT chart, k, time_sec, part, [3, {token_sql('rel_cs / 100.0')}] || body || [4] AS t FROM members),
+@query("window_index", f"""WITH {MEMBERS}, coded AS (SELECT chart, k, time_sec, part, [3, {token_sql('rel_cs / 100.0')}] || body || [4] AS t FROM members),
   held AS (SELECT chart, k, flatten(list(t ORDER BY time_sec)) AS t, sum(CASE WHEN part = 'prefix' THEN len(t) ELSE 0 END) AS before FROM coded GROUP BY chart, k),
   spine AS (SELECT chart, k FROM (SELECT DISTINCT user_id AS chart FROM events), (SELECT unnest(generate_series(0, 259)) AS k)),
   placed_spine AS (SELECT chart, k, k * 10.0::DOUBLE - 12 AS window_start, CAST(round_even((k * 10.0::DOUBLE - 12) * 75, 0) AS BIGINT) AS a FROM spine)
@@ -108,7 +91,7 @@ def window_index(spark: SparkSession, d: str) -> DataFrame:
     return made.select("chart", "k", "window_start", "source_start", "source_end", "left_pad", _text("tokens").alias("tokens"), "loss_start")
 
 
-@query("supervision", f"""WITH {_MEMBERS}, held AS (SELECT chart, k, sum(CASE WHEN part = 'target' THEN len(body) + 3 ELSE 0 END) AS own, count(*) FILTER (part = 'target') AS targets, count(*) AS frames FROM members GROUP BY chart, k),
+@query("supervision", f"""WITH {MEMBERS}, held AS (SELECT chart, k, sum(CASE WHEN part = 'target' THEN len(body) + 3 ELSE 0 END) AS own, count(*) FILTER (part = 'target') AS targets, count(*) AS frames FROM members GROUP BY chart, k),
   n AS (SELECT count(DISTINCT user_id) * 260 AS windows FROM events), s AS (SELECT CAST(sum(own) AS BIGINT) AS own, CAST(sum(targets) AS BIGINT) AS targets, count(*) FILTER (targets > 0) AS t1, count(*) FILTER (frames > targets) AS p1, count(*) FILTER (frames > 0) AS f1 FROM held)
   SELECT own + windows AS supervised, windows AS end_targets, targets + p1 AS after_frame_end, round(100.0::DOUBLE * windows / (own + windows), 9) AS end_share FROM s, n""")
 def supervision(spark: SparkSession, d: str) -> DataFrame:

@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from metrolith.functions import notes as N
 from metrolith.functions import vocabulary as V
+from metrolith.operators.windows import Windows
 
 #: Microseconds at the start of the stream, and of the stream in a second of song.
 START_US, SECOND_US = 1_704_067_200_000_000, 1e9
 #: Feature frames of a song: thirty days at that pace.
 SONG_FRAMES = 194_400
+#: A window for every ten seconds.
+TEN = Windows(stride=10.0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,3 +95,7 @@ def crowded_sql(release: int, gap: int) -> str:
 
 
 token_sql = _token
+#: chart, time_sec, body, k, rel_cs, part: the frames that each window of TEN holds.
+MEMBERS = f"""{FRAMES}, near AS (SELECT chart, time_sec, body, unnest(generate_series(CAST(greatest(0, floor((time_sec - 10.01) / 10)) AS BIGINT), CAST(floor((time_sec + 6.01) / 10) AS BIGINT))) AS k FROM frames),
+  placed AS (SELECT *, CAST(round_even((time_sec - (k * 10.0::DOUBLE - 12)) * 100, 0) AS BIGINT) AS rel_cs FROM near),
+  members AS (SELECT *, CASE WHEN rel_cs < 1200 THEN 'prefix' ELSE 'target' END AS part FROM placed WHERE rel_cs >= 600 AND rel_cs < 2200)"""
