@@ -234,3 +234,42 @@ def competing_matches(spark: SparkSession, d: str) -> DataFrame:
     side = lambda m, rows: rows.select(F.col("o_custkey").alias("chart"), (k * m % 60 * 4 / 1000.0).alias("time_sec"), F.lit("TAP").alias("key"))
     orders = table(spark, d, "orders")
     return matching.counts(side(53, orders.where(k % 3 > 0)), side(37, orders))
+
+
+_MARK = lambda condition, token: f"CASE WHEN {condition} THEN [{token}] ELSE [] END"
+
+
+@query("slide_tokens", f"""WITH e AS (SELECT event_id, event_id % 8 AS s, CAST(floor(value) AS BIGINT) % 8 AS t, event_id % 11 AS shape, event_id % 5 AS b, event_id % 7 AS x FROM events)
+  SELECT event_id, array_to_string([3, 155, 3049] || {_MARK('b = 0', 3063)} || {_MARK('x = 0', 3064)} || [3050, 3052 + shape, 3005 + s, 3005 + t] || {_MARK('shape = 3', '3005 + event_id % 7')} || [5 + event_id % 3 * 50, {token_sql('event_id % 4000 / 100.0')}]
+    || CASE event_id % 3 WHEN 0 THEN [3066] WHEN 1 THEN [3067] ELSE [] END || {_MARK('b = 1', 3068)} || {_MARK('b = 2', 3069)} || {_MARK('b = 3', 3070)} || {_MARK('x = 1', 3071)} || [3051]
+    || [3050, 3052, 3005 + t, 3005 + s, 5, 6] || {_MARK('b = 3', 3070)} || [3051, 4], ' ') AS tokens, true AS same FROM e""")
+def slide_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Slides of two segments in tokens, and whether the notes that these are read as have the same tokens again. Marks of
+    the head stand in the first segment only."""
+    i = F.col("event_id")
+    lane, null, no = (lambda c: c.cast("int")), F.lit(None), F.lit(False)
+    start, end = lane(i % 8 + 1), lane(F.floor("value") % 8 + 1)
+    star, rotate, broken, headless = i % 5 == 1, i % 5 == 2, i % 5 == 3, i % 7 == 1
+    turn = F.when(i % 3 == 0, True).when(i % 3 == 1, False)
+    first = F.struct(_form(V.SHAPES), start, end, i % 3 * 0.5, i % 4000 / 100.0, turn, F.when(i % 11 == 3, lane(i % 7 + 1)), star, rotate, broken, headless).cast(N.SEGMENT)
+    second = F.struct(F.lit("Line"), end, start, F.lit(0.0), F.lit(0.01), null, null, star, rotate, broken, headless).cast(N.SEGMENT)
+    note = F.struct(F.lit("SLIDE"), null, null, null, null, F.array(first, second), i % 5 == 0, i % 7 == 0).cast(N.NOTE)
+    coded = table(spark, d, "events").select("event_id", F.array(note).alias("notes")).select("event_id", N.frame_tokens(F.lit(1.5), F.col("notes")).alias("tokens"))
+    frame = F.get("frames", F.lit(0))
+    read = decode.tolerant(coded.withColumn("held", F.col("tokens"))).where("size(warnings) = 0")
+    return read.select("event_id", _text("held").alias("tokens"), (N.frame_tokens(frame["time_sec"], frame["notes"]) == F.col("held")).alias("same"))
+
+
+@query("chart_headers", """SELECT c_custkey AS chart, 'song ' || c_custkey % 7 AS title, CASE WHEN c_custkey % 2 = 0 THEN 'someone' ELSE '' END AS artist, CASE WHEN c_custkey % 3 = 0 THEN CAST(c_custkey AS VARCHAR) END AS short_id,
+    '2:7 ' || CASE WHEN c_custkey % 5 = 0 THEN '5:14' ELSE '5:13+' END AS levels, CASE WHEN c_custkey % 4 = 0 THEN 'level_3 level_6' ELSE 'level_6' END AS bodies FROM customer""")
+def chart_headers(spark: SparkSession, d: str) -> DataFrame:
+    """Titles, artists, ids, levels by name (the last of repeated ones), and the levels that have a body."""
+    k = F.col("c_custkey")
+    text = F.concat(
+        F.format_string("&title= song %d \n", k % 7), F.when(k % 2 == 0, "&artist=someone\n").otherwise(""), F.when(k % 3 == 0, F.format_string("&shortid=%d \n", k)).otherwise("&shortid=x1\n"), F.lit("&lv_2=7\n&lv_5=13+\n"),
+        F.when(k % 5 == 0, "&lv_5= 14\n").otherwise(""), F.lit("&inote_5=1,E\n"), F.when(k % 4 == 0, "&inote_2=\n").otherwise(""), F.lit("&des=x"),
+    )
+    p = parse.parse(table(spark, d, "customer").select(k.alias("chart"), text.alias("text")))
+    named = F.array_join(F.transform(F.array_sort(F.map_entries("local_levels")), lambda e: F.concat_ws(":", e["key"], e["value"])), " ")
+    bodies = p.levels.groupBy("chart").agg(_text(F.array_sort(F.collect_list("level_name"))).alias("bodies"))
+    return p.charts.join(bodies, "chart").select("chart", "title", "artist", "short_id", named.alias("levels"), "bodies")
