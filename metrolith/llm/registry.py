@@ -7,12 +7,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metrolith.llm import bpe, decontamination, html_text, near_dup, pii, quality_rules, substring_dedup, suffix_dedup, token_counts, url_filters
+from metrolith.llm import bpe, decontamination, html_text, near_dup, pii, quality_rules, substring_dedup, suffix_dedup, token_counts, url_filters, word_bpe
 
 TOKENIZER_OP2 = "byte_bpe_50k.json"
 #: Fixed values of the URL rules.
 LISTED = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 TOKENIZER_OP8 = "byte_bpe_multi_50k.tiktoken"
+TOKENIZER_OP13 = "word_bpe_49k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +68,11 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(pages, LISTED, url_filters.mine(labelled)).select("page_id", "host", "path", "rule", "verdict", "mined")
 
 
+def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = word_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER_OP13), decoded=True)
+    return word_bpe.id_digest(coded).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -79,6 +85,7 @@ def queries() -> dict:
         "op8_byte_bpe": op8_byte_bpe,
         "op9_pii": op9_pii,
         "op10_url_filters": op10_url_filters,
+        "op13_word_bpe": op13_word_bpe,
         "pipeline": corpus_pipeline.run,
     }
 
