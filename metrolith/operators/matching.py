@@ -3,16 +3,17 @@
 Predictions are taken in order of time; each takes the nearest true event of its key that is still free (of equally near
 ones the later). A choice depends only on events of the same key that are linked by gaps within the tolerance, so a key is
 cut into runs wherever neighbouring events are further apart, and each run is settled alone: a key with very many events
-is spread over tasks, and runs of one event need no matching.
+is spread over tasks, and runs of one event need no matching. Events at one time are one row with their numbers.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metrolith.functions import notes as N
+from metrolith.operators.scan import carry
 
 SLACK = 1e-9
 
@@ -23,13 +24,18 @@ def events(frames: DataFrame, keys: tuple[str, ...] = ("chart",)) -> DataFrame:
     return each.select(*keys, "time_sec", N.match_key(F.col("n")).alias("key"), "place")
 
 
-def runs(predicted: DataFrame, truth: DataFrame, keys: tuple[str, ...], tolerance: float, time: str = "time_sec") -> DataFrame:
-    """Both sides in one table with `run`, the number of the run of near events within keys."""
+def instants(predicted: DataFrame, truth: DataFrame, keys: tuple[str, ...], time: str = "time_sec") -> DataFrame:
+    """keys, time, p, t: how many events of both sides there are at each time."""
     both = predicted.withColumn("side", F.lit(0)).unionByName(truth.withColumn("side", F.lit(1)))
-    order = Window.partitionBy(*keys).orderBy(time)
-    gap = F.col(time) - F.lag(time).over(order)
-    fresh = both.withColumn("__new", F.when(gap > tolerance + 2 * SLACK, 1).otherwise(0))
-    return fresh.withColumn("run", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+    return both.groupBy(*keys, time).agg(F.count_if(F.col("side") == 0).alias("p"), F.count_if(F.col("side") == 1).alias("t"))
+
+
+def runs(predicted: DataFrame, truth: DataFrame, keys: tuple[str, ...], tolerance: float, time: str = "time_sec", span: float | None = None) -> DataFrame:
+    """instants() with `run`, the time at which the run of near events within keys begins. span: seconds of a key that one
+    task takes (see scan.carry); None: a key is one task."""
+    told = carry(instants(predicted, truth, keys, time), keys, time, span, last={"__before": F.col(time)})
+    begins = F.coalesce(F.col(time) - F.col("__before") > tolerance + 2 * SLACK, F.lit(True))
+    return carry(told, keys, time, span, last={"run": F.when(begins, F.col(time))}, inclusive=True).drop("__before")
 
 
 def greedy(predicted: list[float], truth: list[float], tolerance: float) -> int:
@@ -50,17 +56,18 @@ def greedy(predicted: list[float], truth: list[float], tolerance: float) -> int:
     return n
 
 
-def counts(predicted: DataFrame, truth: DataFrame, groups: tuple[str, ...] = ("chart",), tolerance: float = 0.01) -> DataFrame:
-    """groups, tp, n_predicted, n_true. Sides: groups, time_sec, key. A group that one side lacks counts zero there.
+def counts(predicted: DataFrame, truth: DataFrame, groups: tuple[str, ...] = ("chart",), tolerance: float = 0.01, span: float | None = None) -> DataFrame:
+    """groups, tp, n_predicted, n_true. Sides: groups, time_sec, key. A group that one side lacks counts zero there, and an
+    event without a time matches nothing. span: as of runs().
 
     Runs that hold only one side, or one event of each, are counted without leaving the JVM."""
     keys = (*groups, "key")
     names = [*groups, "time_sec", "key"]
-    told = runs(predicted.select(*names), truth.select(*names), keys, tolerance)
-    sides = told.groupBy(*keys, "run").agg(F.count_if(F.col("side") == 0).alias("p"), F.count_if(F.col("side") == 1).alias("t"), F.array_sort(F.collect_list(F.struct("side", "time_sec"))).alias("all"))
-    plain = F.when((F.col("p") == 0) | (F.col("t") == 0), F.lit(0)).when((F.col("p") == 1) & (F.col("t") == 1) & (F.get("all", F.lit(1))["time_sec"].isNotNull()), F.lit(1))
-    side = lambda n: F.transform(F.filter("all", lambda s: s["side"] == n), lambda s: s["time_sec"])
-    judged = sides.select(*groups, "p", "t", plain.alias("plain"), F.when(plain.isNull(), side(0)).alias("a"), F.when(plain.isNull(), side(1)).alias("b"))
+    told = runs(predicted.select(*names), truth.select(*names), keys, tolerance, span=span)
+    sides = told.groupBy(*keys, "run").agg(F.sum("p").alias("p"), F.sum("t").alias("t"), F.array_sort(F.collect_list(F.struct("time_sec", F.col("p").alias("np"), F.col("t").alias("nt")))).alias("all"))
+    plain = F.when(F.col("run").isNull() | (F.col("p") == 0) | (F.col("t") == 0), F.lit(0)).when((F.col("p") == 1) & (F.col("t") == 1), F.lit(1))
+    side = lambda n: F.flatten(F.transform("all", lambda s: F.array_repeat(s["time_sec"], s[n].cast("int"))))
+    judged = sides.select(*groups, "p", "t", plain.alias("plain"), F.when(plain.isNull(), side("np")).alias("a"), F.when(plain.isNull(), side("nt")).alias("b"))
     schema = judged.select(*groups, "p", "t").schema.add("tp", "long")
 
     def run(batches):
