@@ -32,9 +32,9 @@ from metrolith.llm.scratch import table
 from metrolith.llm.word_bpe import Store, byte_letters
 
 #: Bytes of text behind the events of one row, characters of text behind one batch of rows.
-BLOCK_BYTES, BATCH_CHARS = 16_384, 2_000_000
+BLOCK_BYTES, BATCH_CHARS = 16_384, 1_000_000
 #: Bytes of coded chunks that a worker keeps.
-STORE_BYTES = 128_000_000
+STORE_BYTES = 48_000_000
 #: Most pairs that are broadcast.
 HOT_PAIRS = 200_000
 #: Links of a group from which its ids are counted before they are paired.
