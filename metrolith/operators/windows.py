@@ -126,3 +126,24 @@ def batches(rows: DataFrame, size: int, order: str) -> DataFrame:
     """Adds `batch` and `place`: rows numbered within spans of `order`, which must be a dense number from 0."""
     return rows.withColumns({"batch": F.floor(F.col(order) / size).cast("long"), "place": F.pmod(F.col(order), F.lit(size)).cast("int")})
 
+
+def collate(rows: DataFrame, size: int, longest: int, order: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each batch of `size` rows: batch, tokens (a sequence for each row, padded to `longest`), mask (what is no
+    padding), loss_mask (what counts, from loss_start to the end), and the columns of `also`, an array each. rows: tokens,
+    loss_start, and `order`, a dense number from 0. A row with more than `longest` tokens is refused, never cut."""
+    n = F.size("tokens")
+    fits = F.when(n > longest, F.raise_error(F.format_string(f"a window of %d tokens doesn't fit {longest}", n)).cast("int")).otherwise(n)
+    pad = lambda value, first, many: F.concat(first, F.array_repeat(value, longest - many))
+    upto = F.sequence(F.lit(0), F.lit(longest - 1))
+    told = batches(rows.withColumn("__n", fits), size, order).select(
+        "batch",
+        F.struct(
+            "place",
+            pad(F.lit(V.PAD), F.col("tokens"), F.col("__n")).alias("tokens"),
+            F.transform(upto, lambda i: i < F.col("__n")).alias("mask"),
+            F.transform(upto, lambda i: (i >= F.col("loss_start")) & (i < F.col("__n"))).alias("loss_mask"),
+            *also,
+        ).alias("row"),
+    )
+    gathered = told.groupBy("batch").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    return gathered.select("batch", *[F.col(f"rows.{c}").alias(c) for c in ("tokens", "mask", "loss_mask", *also)])

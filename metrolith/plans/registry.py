@@ -9,9 +9,10 @@ from metrolith.functions import durations as D
 from metrolith.functions import notes as N
 from metrolith.functions import quantize as Q
 from metrolith.operators import augment, constraints, decode, lookup, matching, metrics, parse, render, segments, split, windows
-from metrolith.plans import cases  # noqa: F401  (adds its queries)
+from metrolith.plans import cases, spread, texts  # noqa: F401  (the first two add their queries)
 from metrolith.plans import tables as T
 from metrolith.plans.named import QUERIES, SQL, query
+from metrolith.plans.texts import CLOCK
 from metrolith.plans.tables import FRAMES, MEMBERS, NOTES, TEN, USES, crowded_sql, table, token_sql
 
 _text = lambda c: F.array_join(c, " ")
@@ -172,46 +173,25 @@ def audit(spark: SparkSession, d: str) -> DataFrame:
 
 # Notation
 
-#: A user's events as text: tempo every third slot, pauses, and holds with four kinds of length.
-_SLOT = "CASE WHEN event_id % 3 = 0 THEN '(' || CASE WHEN event_id % 2 = 0 THEN '60' ELSE '120' END || '){' || CAST(CAST(pow(2, event_id % 5) AS INTEGER) AS VARCHAR) || '}' ELSE '' END"
-
-
-def _texts(spark: SparkSession, d: str) -> DataFrame:
-    i = F.col("event_id")
-    tempo = F.when(i % 3 == 0, F.concat(F.lit("("), F.when(i % 2 == 0, "60").otherwise("120"), F.lit("){"), F.pow(F.lit(2), i % 5).cast("int").cast("string"), F.lit("}"))).otherwise("")
-    lane = (i % 8 + 1).cast("string")
-    length = F.when(i % 4 == 0, "[8:3]").when(i % 4 == 1, "[#0.5]").when(i % 4 == 2, "[60#4:1]").otherwise("[1##2:1]")
-    note = F.when(i % 7 == 0, "").when(i % 2 == 0, F.concat(lane, F.lit("h"), length)).otherwise(F.concat(lane, F.lit("b")))
-    slots = table(spark, d, "events").select("user_id", "event_id", F.concat(tempo, note).alias("slot"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "slot"))), lambda s: s["slot"]), ",\n")
-    return slots.groupBy(F.col("user_id").alias("chart")).agg(F.concat(F.lit("&title=a\n&lv_5=13+\n&inote_5=\n"), body, F.lit(",\nE\n")).alias("text"))
-
-
-_CLOCK = """s AS (SELECT user_id AS chart, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS slot,
-    CASE WHEN event_id % 3 = 0 THEN CASE WHEN event_id % 2 = 0 THEN 60.0::DOUBLE ELSE 120.0::DOUBLE END END AS b, CASE WHEN event_id % 3 = 0 THEN pow(2, event_id % 5) END AS v FROM events),
-  c AS (SELECT *, coalesce(last_value(b IGNORE NULLS) OVER w, 0) AS bpm, coalesce(240.0::DOUBLE / last_value(b IGNORE NULLS) OVER w / last_value(v IGNORE NULLS) OVER w, 1) AS len FROM s WINDOW w AS (PARTITION BY chart ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-  t AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY chart ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS time_sec FROM c)"""
-
-
-@query("running_clock", f"WITH {_CLOCK} SELECT chart, CAST(slot AS INTEGER) AS slot, bpm, len AS comma_sec, time_sec FROM t")
+@query("running_clock", f"WITH {CLOCK} SELECT chart, CAST(slot AS INTEGER) AS slot, bpm, len AS comma_sec, time_sec FROM t")
 def running_clock(spark: SparkSession, d: str) -> DataFrame:
-    timed = parse.clock(parse.slots(parse.levels(_texts(spark, d))))
+    timed = parse.clock(parse.slots(parse.levels(texts.charts(spark, d))))
     each = timed.select("chart", "slot", "bpm", "comma_sec", "time_sec", F.posexplode(F.array_repeat(F.lit(0), "many")).alias("i", "_"))
     return each.select("chart", (F.col("slot") + F.col("i")).alias("slot"), "bpm", "comma_sec", (F.col("time_sec") + F.col("i") * F.col("comma_sec")).alias("time_sec"))
 
 
-@query("parse_notation", f"""WITH {_CLOCK} SELECT chart, time_sec, CASE WHEN event_id % 2 = 0 THEN 'HOLD' ELSE 'TAP' END AS type, CAST(event_id % 8 + 1 AS INTEGER) AS lane, event_id % 2 = 1 AS is_break,
+@query("parse_notation", f"""WITH {CLOCK} SELECT chart, time_sec, CASE WHEN event_id % 2 = 0 THEN 'HOLD' ELSE 'TAP' END AS type, CAST(event_id % 8 + 1 AS INTEGER) AS lane, event_id % 2 = 1 AS is_break,
     CASE WHEN event_id % 2 = 1 THEN NULL WHEN event_id % 4 = 0 THEN CASE WHEN bpm > 0 THEN 240.0::DOUBLE / bpm / 8 * 3 ELSE 0 END ELSE 1.0 END AS hold_sec FROM t WHERE event_id % 7 <> 0""")
 def parse_notation(spark: SparkSession, d: str) -> DataFrame:
-    frames = parse.parse(_texts(spark, d)).frames
+    frames = parse.parse(texts.charts(spark, d)).frames
     return frames.select("chart", "time_sec", F.explode("notes").alias("n")).select("chart", "time_sec", "n.type", "n.lane", "n.is_break", "n.hold_sec")
 
 
-@query("render_parse_roundtrip", f"""WITH {FRAMES}, s AS (SELECT chart, time_sec, CAST(greatest(0, round_even(time_sec / 0.02, 0)) AS BIGINT) AS slot FROM frames),
+@query("render_parse_text", f"""WITH {FRAMES}, s AS (SELECT chart, time_sec, CAST(greatest(0, round_even(time_sec / 0.02, 0)) AS BIGINT) AS slot FROM frames),
   g AS (SELECT *, greatest(0, slot - coalesce(lag(slot) OVER (PARTITION BY chart ORDER BY time_sec) + 1, 0)) AS gap FROM s), p AS (SELECT *, sum(gap) OVER w + row_number() OVER w - 1 AS pos FROM g WINDOW w AS (PARTITION BY chart ORDER BY time_sec))
   SELECT chart, CAST(pos AS BIGINT) AS pos, CASE kind WHEN 'click' THEN 'TAP' WHEN 'view' THEN 'HOLD' WHEN 'purchase' THEN 'TOUCH' WHEN 'signup' THEN 'TOUCH_HOLD' ELSE 'SLIDE' END AS type, CAST(event_id % 8 + 1 AS INTEGER) AS lane, kind NOT IN ('purchase', 'signup') AND event_id % 3 = 0 AS is_break,
     kind NOT IN ('purchase', 'signup') AND event_id % 5 = 0 AS is_ex FROM p JOIN notes USING (chart, time_sec) WHERE kind NOT IN ('purchase', 'signup')""")
-def render_parse_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+def render_parse_text(spark: SparkSession, d: str) -> DataFrame:
     bodies = render.bodies(T.frames(spark, d)).select("chart", F.concat(F.lit("&inote_5=\n"), F.col("body")).alias("text"))
     n = parse.parse(bodies).frames.select("chart", F.rint(F.col("time_sec") / render.COMMA).cast("long").alias("pos"), F.explode("notes").alias("n")).where("n.area is null")
     return n.select("chart", "pos", "n.type", F.coalesce("n.lane", F.col("n.segments")[0]["start_lane"]).alias("lane"), "n.is_break", "n.is_ex")
@@ -385,13 +365,6 @@ def chunk_overlap(spark: SparkSession, d: str) -> DataFrame:
     return augment.chunks(songs, 8000, 320)
 
 
-@query("disturbed_features")
-def disturbed_features(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.array(x)).alias("features"))
-    v = v.withColumn("mask", F.transform("features", lambda x, i: i % 8 < 7))
-    return augment.disturbed(v, "features", "mask", 0.5, 0.1, 6, 42, "vec_id").select("vec_id", F.round(F.aggregate(F.flatten("features"), F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
-
-
 @query("token_batches", """WITH r AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS i FROM events) SELECT event_id, i // 64 AS batch, CAST(i % 64 AS INTEGER) AS place FROM r""")
 def token_batches(spark: SparkSession, d: str) -> DataFrame:
     """Batches of 64 in the order of event_id. Rows are numbered by counts of ranges, not in one task."""
