@@ -5,7 +5,8 @@ forms and comments in them; pages that have no such element give all blocks that
 decides about the blocks of every page: a repeat of LONG tokens or more that `share` of the different pages of the host
 have, and LEAST at least, is boilerplate. A token is covered by such a repeat exactly if it is covered by a window of
 LONG tokens that so many pages have, so windows stand for the maximal repeats, and runs of windows for their union.
-Blocks that are mostly covered go; of other blocks only a run at an end goes, never words between others.
+Blocks that are mostly covered go; of other blocks only a run at an end goes, never words between others. Of an article only
+short blocks go, and no page loses more than half, so an article that a host shows on several pages stays on all of them.
 
 Windows are counted exactly in two passes: a window that has its share of the host has it in some chunk of the input too,
 so a first pass names those and a second one counts them over all pages. No text is shuffled and no host meets one task.
@@ -36,6 +37,8 @@ from metrolith.llm.url_filters import host
 LONG, SHARE, LEAST = 6, 0.5, 3
 #: The share of a block that is covered when all of it goes; tokens that are counted at a time; windows that are broadcast.
 MOSTLY, CHUNK, BROADCAST = 0.8, 1 << 22, 1_000_000
+#: Tokens of the longest block of an article that repeats may take, and the largest share of a page that they may.
+SHORT, LARGEST = 40, 0.5
 GAP = np.zeros(256, dtype=bool)
 GAP[[0x0A, 0x20]] = True
 
@@ -47,6 +50,11 @@ RAW = frozenset("script style textarea title xmp noembed noframes".split())
 #: Words of a class, id or role that mark what isn't the article.
 MARKS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation navigations newsletter notice notices notification pagination popup promo promoted recommended related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split())
 COMMENTS = frozenset("comment comments disqus reply replies respond".split())
+#: Elements of an article whose class, id or role may mark them as no part of it; a paragraph, a heading or a list item of an
+#: article belongs to it, but an item that holds a comment. Words that begin a class which tells of what a wrapper has or lacks, not of what it is.
+CONTAINERS = frozenset("div section aside nav footer header form ul ol figure table iframe details article main".split())
+ITEMS = frozenset("li dd dt tr td".split())
+TELLING = frozenset("no has with without is not".split())
 
 _tag = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>""")
 _attribute = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -63,27 +71,39 @@ class _Open:
         self.name, self.hides, self.article = name, hides, article
 
 
-def _marked(attributes: str, words: bool) -> str:
-    """comment or other if the attributes mark an element as not part of the article, else nothing; without `words`, only
-    what isn't shown counts."""
+def _marked(attributes: str, words: str) -> str:
+    """comment or other if the attributes mark an element as not part of the article, else nothing. words: which words of
+    attributes count, "all", those of "comment"s, or "none"; what isn't shown always counts."""
     if not attributes:
         return ""
-    if not words:
-        return "other" if _hidden.search(attributes) else ""
-    found = {w.lower() for m in _attribute.finditer(attributes) for w in _words.findall(m.group(2) or m.group(3) or m.group(4) or "")}
-    if found & COMMENTS:
-        return "comment"
-    return "other" if found & MARKS or _hidden.search(attributes) else ""
+    if words != "none":
+        found = set()
+        for m in _attribute.finditer(attributes):
+            for name in (m.group(2) or m.group(3) or m.group(4) or "").lower().split():
+                parts = _words.findall(name)
+                if parts and parts[0] not in TELLING:
+                    found.update(parts)
+        if found & COMMENTS:
+            return "comment"
+        if words == "all" and found & MARKS:
+            return "other"
+    return "other" if _hidden.search(attributes) else ""
 
 
 def blocks(page: str) -> tuple[list[str], list[str]]:
-    """(blocks of articles, other blocks that aren't ruled out), white space reduced and references decoded. If words in
-    attributes rule out all there is, they don't count, so such words never empty a page."""
-    main, rest = _blocks(page, True)
-    return (main, rest) if main or rest else _blocks(page, False)
+    """(blocks of articles, other blocks that aren't ruled out), white space reduced and references decoded.
 
+    Words in attributes rule out an article's containers only where at least half of the article is left; else only those
+    that mark comments count. If they rule out all there is on a page, none count, so such words never empty a page."""
+    main, rest = _blocks(page, "all")
+    if main or not rest:
+        other, rest_too = _blocks(page, "comment")
+        if sum(map(len, other)) > 2 * sum(map(len, main)):
+            main, rest = other, rest_too
+    return (main, rest) if main or rest else _blocks(page, "none")
 
-def _blocks(page: str, words: bool) -> tuple[list[str], list[str]]:
+
+def _blocks(page: str, words: str) -> tuple[list[str], list[str]]:
     main: list[str] = []
     open_blocks: list[str] = []
     stack: list[_Open] = []
@@ -148,7 +168,8 @@ def _blocks(page: str, words: bool) -> tuple[list[str], list[str]]:
                         break
                     if stack[i].name in BLOCKS:
                         break
-            marked = _marked(m.group(3), words)
+            belongs = in_article and name not in CONTAINERS
+            marked = _marked(m.group(3), words if not belongs else "comment" if name in ITEMS and words != "none" else "none")
             article = name in ("article", "main")
             if article and not marked and hidden and hidden != "comment":
                 flush()
@@ -176,18 +197,20 @@ def _blocks(page: str, words: bool) -> tuple[list[str], list[str]]:
 
 
 def read_pages(df: DataFrame, html: str = "html", url: str = "url", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """`keep`, __host (a hash, null without url) and __text, the blocks that markup leaves, one in a line."""
+    """`keep`, __host (a hash, null without url), __article (whether an article was found) and __text, the blocks that markup
+    leaves, one in a line."""
     own = F.when(F.col(f"`{url}`").isNotNull(), F.xxhash64(host(F.col(f"`{url}`"))))
     source = df.select(*[F.col(f"`{c}`") for c in keep], own.alias("__host"), F.col(f"`{html}`").alias("__html"))
-    schema = T.StructType([*source.schema.fields[:-1], T.StructField("__text", T.StringType())])
+    schema = T.StructType([*source.schema.fields[:-1], T.StructField("__article", T.BooleanType()), T.StructField("__text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
+            texts, article = [], []
             for value in batch.column(batch.num_columns - 1):
                 main, rest = blocks(value.as_py() or "")
                 texts.append("\n".join(main or rest))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=schema.fieldNames())
+                article.append(bool(main))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(article), pa.array(texts, pa.string())], names=schema.fieldNames())
 
     return source.mapInArrow(run, schema)
 
@@ -245,7 +268,7 @@ def _counted(pages: DataFrame, long: int, share: float, wanted=None) -> DataFram
 
 
 def boilerplate(read: DataFrame, long: int, share: float) -> DataFrame:
-    """__host, __codes: the windows that `share` of the different pages of a host have; read: __host, __stream, __text."""
+    """__host, code: the windows that `share` of the different pages of a host have; read: __host, __stream, __text."""
     own = read.where("__host is not null and __text <> ''")
     hosts = cut(own.groupBy("__host").agg(F.count_distinct("__stream").alias("pages")).where(F.col("pages") >= LEAST))
     copies = cut(own.groupBy("__stream").agg(F.count("*").alias("n")).where("n > 1"))
@@ -259,46 +282,83 @@ def boilerplate(read: DataFrame, long: int, share: float) -> DataFrame:
         counted = _counted(pages, long, 0.0).join(named, ["host", "code"], "left_semi")
     total = counted.groupBy("host", "code").agg(F.sum("weight").alias("weight"))
     enough = F.col("weight") >= F.greatest(F.lit(float(LEAST)), share * F.col("pages")) - 1e-6
-    return total.join(hosts, F.col("host") == F.col("__host")).where(enough).groupBy("__host").agg(F.collect_list("code").alias("__codes"))
+    return total.join(hosts, F.col("host") == F.col("__host")).where(enough).select("__host", "code")
+
 
+def without(text: str, hit: np.ndarray, n: int, long: int, article: bool = False) -> str:
+    """The text without blocks that are mostly covered and without covered ends of the others; hit: windows that count.
 
-def without(text: str, hit: np.ndarray, n: int, long: int) -> str:
-    """The text without blocks that are mostly covered and without covered ends of the others; hit: windows that count."""
+    Pages that show one article in several ways repeat it as a host repeats its notices. So of an article only blocks of
+    SHORT tokens or fewer go, and a page that would lose more than LARGEST of its tokens stays whole."""
     edge = np.zeros(n + 1, dtype=np.int64)
     np.add.at(edge, hit, 1)
     np.add.at(edge, hit + long, -1)
     covered = np.cumsum(edge[:n]) > 0
-    out, at = [], 0
+    out, at, lost = [], 0, 0
     for block in text.split("\n"):
         tokens = block.split(" ")
         gone = covered[at : at + len(tokens)]
         at += len(tokens)
+        if article and len(tokens) > SHORT:
+            out.append(block)
+            continue
         if gone.mean() >= MOSTLY:
+            lost += len(tokens)
             continue
         own = np.flatnonzero(~gone)
         first, end = int(own[0]), int(own[-1]) + 1
-        out.append(" ".join(tokens[first if first >= long else 0 : end if len(tokens) - end >= long else len(tokens)]))
-    return "\n".join(out)
+        kept = tokens[first if first >= long else 0 : end if len(tokens) - end >= long else len(tokens)]
+        lost += len(tokens) - len(kept)
+        out.append(" ".join(kept))
+    return text if lost > LARGEST * n else "\n".join(out)
+
+
+def _met(read: DataFrame, found: DataFrame, long: int) -> DataFrame:
+    """read with __hit, the places of a page's windows that are boilerplate of its host (null: none), for more codes than a
+    worker holds: windows meet codes by host and code, and only their places come back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, hosts, texts = (batch.column(i).to_pylist() for i in range(3))
+            for i, _, own in _windows(texts, hosts, long):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), rows[i])), pa.array(np.full(len(own), hosts[i])), pa.array(own), pa.array(np.arange(len(own), dtype=np.int32))], names=["__row", "__host", "code", "at"])
+
+    shown = read.where("__host is not null and __text <> ''").select("__row", "__host", "__text")
+    windows = shown.mapInArrow(run, "__row long, __host long, code long, at int")
+    hits = windows.join(found, ["__host", "code"], "left_semi").groupBy("__row").agg(F.array_sort(F.collect_list("at")).alias("__hit"))
+    return read.join(hits, "__row", "left")
 
 
 def extract(df: DataFrame, html: str = "html", url: str = "url", keep: tuple[str, ...] = ("page_id", "url"), long: int = LONG, share: float = SHARE) -> DataFrame:
     """`keep`, text and n_chars for every row."""
-    read = cut(read_pages(df, html, url, keep).withColumn("__stream", F.xxhash64("__host", "__text")))
+    read = read_pages(df, html, url, keep).withColumns({"__stream": F.xxhash64("__host", "__text"), "__row": F.monotonically_increasing_id()})
+    read = cut(read)
     found = cut(boilerplate(read, long, share))
-    small = (found.agg(F.sum(F.size("__codes"))).first()[0] or 0) <= BROADCAST
-    told = read.select(*[F.col(f"`{c}`") for c in keep], "__host", "__text").join(F.broadcast(found) if small else found, "__host", "left")
-    told = told.select(*[F.col(f"`{c}`") for c in keep], "__host", "__codes", "__text")
-    schema = T.StructType([*told.schema.fields[:-3], T.StructField("text", T.StringType())])
+    columns = [F.col(f"`{c}`") for c in keep]
+    small = found.count() <= BROADCAST
+    if small:
+        codes = found.toArrow()
+        order = np.argsort(codes.column("__host").to_numpy(), kind="stable")
+        hosts, starts = np.unique(codes.column("__host").to_numpy()[order], return_index=True)
+        held = dict(zip(hosts.tolist(), np.split(codes.column("code").to_numpy()[order], starts[1:]), strict=True)) if len(hosts) else {}
+        by_host = df.sparkSession.sparkContext.broadcast(held)
+        told = read.select(*columns, "__host", F.lit(None).cast("array<int>").alias("__hit"), "__article", "__text")
+    else:
+        by_host = None
+        told = _met(read, found, long).select(*columns, "__host", "__hit", "__article", "__text")
+    schema = T.StructType([*told.schema.fields[:-4], T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, texts = batch.column(batch.num_columns - 3).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
-            codes = batch.column(batch.num_columns - 2)
-            open_pages = np.flatnonzero(codes.is_valid().to_numpy(zero_copy_only=False)).tolist()
-            for i, n, own in _windows([texts[k] for k in open_pages], [hosts[k] for k in open_pages], long):
-                hit = np.flatnonzero(np.isin(own, codes[open_pages[i]].values.to_numpy()))
+            hosts, hits, article, texts = (batch.column(batch.num_columns - k) for k in (4, 3, 2, 1))
+            hosts, article, texts = hosts.to_pylist(), article.to_pylist(), texts.to_pylist()
+            known = by_host.value if by_host is not None else {}
+            some = [k for k, (h, t) in enumerate(zip(hosts, texts, strict=True)) if h in known and t] if by_host is not None else np.flatnonzero(hits.is_valid().to_numpy(zero_copy_only=False)).tolist()
+            for i, n, own in _windows([texts[k] for k in some], [hosts[k] for k in some], long):
+                k = some[i]
+                hit = np.flatnonzero(np.isin(own, known[hosts[k]])) if by_host is not None else hits[k].values.to_numpy()
                 if len(hit):
-                    texts[open_pages[i]] = without(texts[open_pages[i]], hit, n, long)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(texts, pa.string())], names=schema.fieldNames())
+                    texts[k] = without(texts[k], hit, n, long, article[k])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-4], pa.array(texts, pa.string())], names=schema.fieldNames())
 
     return told.mapInArrow(run, schema).withColumn("n_chars", F.length("text").cast("long"))

@@ -85,3 +85,54 @@ def test_text_that_few_pages_share_stays(spark):
     rows += [(50 + i, "http://copy.org/", f"<p>{article}</p>") for i in range(5)] + [(60, "http://copy.org/x", f"<p>{own(20)}</p>")]
     out = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(out[i] == text(page) for i, _, page in rows)
+
+
+def test_words_in_attributes_leave_paragraphs_and_wrappers_of_an_article():
+    page = '<article><p>First words.</p><p class="share">Important body line</p><div class="page no-sidebar"><p>in wrapper</p></div><div class="share-buttons">tweet</div><ol><li class="comment">me too</li></ol></article>'
+    assert text(page) == "First words.\nImportant body line\nin wrapper"
+    assert text('<article><div class="content share"><p>the whole long article</p></div><p>end</p></article>') == "the whole long article\nend"
+    assert text('<article><p>short</p><section class="comments"><p>a much longer comment than the article is itself</p></section></article>') == "short"
+
+
+def test_an_article_that_a_host_shows_in_several_ways_stays(spark):
+    draw = random.Random(6)
+    own = lambda n: " ".join(f"u{draw.randrange(10**6)}" for _ in range(n))
+    article, promo = own(200), "follow us for more stories like this every day"
+    rows = [(i, f"http://four.org/?p={i}", f"<article><p>{article}</p><p>{own(6)}</p></article>") for i in range(4)]
+    rows += [(10 + i, f"http://mixed.org/{i}", f"<article><p>{article if i < 6 else own(200)}</p><p>{own(9)}</p><div>{promo}</div></article>") for i in range(10)]
+    rows += [(30 + i, f"http://plain.org/{i}", f"<div>{article}</div><div>{own(9)}</div>") for i in range(5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = {r.page_id: r.text for r in H.extract(pages).collect()}
+    for i, _, page in rows:
+        assert out[i] == text(page).removesuffix("\n" + promo), i
+    few = H.BROADCAST
+    try:
+        H.BROADCAST = 0  # codes meet windows by shuffle
+        assert {r.page_id: r.text for r in H.extract(pages).collect()} == out
+    finally:
+        H.BROADCAST = few
+
+
+def plain_boilerplate(pages, long, share, least):
+    """pages: host, text. The runs of `long` tokens, by host, that enough of its different pages have."""
+    out = {}
+    for host in {h for h, _ in pages}:
+        texts = {t for h, t in pages if h == host and t}
+        seen = {}
+        for t in texts:
+            tokens = t.split()
+            for run in {tuple(tokens[i : i + long]) for i in range(len(tokens) - long + 1)}:
+                seen[run] = seen.get(run, 0) + 1
+        out[host] = sum(n >= max(least, share * len(texts)) for n in seen.values()) if len(texts) >= least else 0
+    return {h: n for h, n in out.items() if n}
+
+
+def test_shared_runs_match_brute_force(spark):
+    draw = random.Random(12)
+    pages = [(draw.choice("abcd"), "\n".join(" ".join(draw.choice("xyz") for _ in range(draw.randrange(1, 12))) for _ in range(draw.randrange(4)))) for _ in range(120)]
+    pages += [("e", "one two three four five six seven")] * 4 + [("f", "one two three four five six")] * 2 + pages[:9]
+    rows = [(i, ord(h), t) for i, (h, t) in enumerate(pages)]
+    read = spark.createDataFrame(rows, "i long, __host long, __text string").withColumn("__stream", F.xxhash64("__host", "__text"))
+    for long, share in ((3, 0.5), (6, 0.5), (4, 0.2)):
+        found = H.boilerplate(read, long, share).groupBy("__host").count().collect()
+        assert {chr(r["__host"]): r["count"] for r in found} == plain_boilerplate(pages, long, share, H.LEAST)
