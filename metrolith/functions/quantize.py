@@ -66,3 +66,18 @@ def up_to_last_frame(tokens: Column) -> Column:
     """Cut behind the last end of a frame: what a decoder that stopped early leaves whole."""
     last = F.array_max(F.transform(tokens, lambda t, i: F.when(t == V.FRAME_END, i + 1).otherwise(0)))
     return F.slice(tokens, F.lit(1), F.coalesce(last, F.lit(0)))
+
+
+def ended(tokens: Column, prefix: Column, reason: Column) -> Column:
+    """A decoded sequence as it is kept: tokens, raw_new_tokens, new_tokens, dropped_tokens. tokens: what was decoded behind
+    `prefix` given ones, with its end mark if it came to one. Where the budget ran out or the grammar allowed nothing more, what
+    is behind the last whole frame goes (without any, all that is new) and an end mark is put there."""
+    last = F.array_max(F.transform(tokens, lambda t, i: F.when(t == V.FRAME_END, i + 1).otherwise(0)))
+
+    def kept(v: Column) -> Column:
+        broken = reason.isin("token_budget", "grammar_dead_end") & (F.element_at(tokens, -1) != V.EOS)
+        own = F.when(broken, F.concat(F.slice(tokens, F.lit(1), v["upto"]), F.array(F.lit(V.EOS)))).otherwise(tokens)
+        dropped = F.when(broken, F.size(tokens) - v["upto"]).otherwise(0)
+        return F.struct(own.alias("tokens"), (F.size(tokens) - prefix).alias("raw_new_tokens"), (F.size(own) - prefix).alias("new_tokens"), dropped.alias("dropped_tokens"))
+
+    return let(F.struct(let(last, lambda n: F.when(n > 0, n).otherwise(prefix)).alias("upto")), kept)

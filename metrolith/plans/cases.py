@@ -83,11 +83,12 @@ def _parsed(spark: SparkSession, d: str, forms: list[str]) -> parse.Parsed:
     return parse.parse(table(spark, d, "events").select(F.col("event_id").alias("chart"), text.alias("text")), (5,))
 
 
-@query("notation_forms", f"""WITH f(i, place, t) AS (VALUES {_values([(i, k, n) for i, (_, notes) in enumerate(FORMS) for k, n in enumerate(notes)])}), l AS (SELECT event_id, {_LANES} FROM events)
-  SELECT event_id, place, replace(replace(replace(t, '%a', a), '%m', m), '%e', e) AS note FROM l JOIN f ON i = event_id % {len(FORMS)}""")
-def notation_forms(spark: SparkSession, d: str) -> DataFrame:
-    """Notes of all shapes, chains, branches, touches, written together, and behind comments."""
-    frames = _parsed(spark, d, [f for f, _ in FORMS]).frames
+_FORMS_SQL = f"""WITH f(i, place, t) AS (VALUES {_values([(i, k, n) for i, (_, notes) in enumerate(FORMS) for k, n in enumerate(notes)])}), l AS (SELECT event_id, {_LANES} FROM events)
+  SELECT event_id, place, replace(replace(replace(t, '%a', a), '%m', m), '%e', e) AS note FROM l JOIN f ON i = event_id % {len(FORMS)}"""
+
+
+def _told(frames: DataFrame) -> DataFrame:
+    """event_id, place, and each note in words; frames: of parse."""
     ordered = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("time_sec", "notes"))), lambda f: f["notes"]))
     each = frames.groupBy(F.col("chart").alias("event_id")).agg(ordered.alias("notes")).select("event_id", F.posexplode("notes").alias("place", "n"))
     bit = lambda c: c.cast("int").cast("string")
@@ -103,6 +104,27 @@ def notation_forms(spark: SparkSession, d: str) -> DataFrame:
     return each.select("event_id", "place", F.concat_ws(",", "n.type", spot, hold, marks, F.coalesce(F.array_join(F.transform("n.segments", segment), "|"), none)).alias("note"))
 
 
+@query("notation_forms", _FORMS_SQL)
+def notation_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Notes of all shapes, chains, branches, touches, written together, and behind comments: a table of forms with results
+    worked out by hand, so the SQL is that table and no reader of its own."""
+    return _told(_parsed(spark, d, [f for f, _ in FORMS]).frames)
+
+
+#: Lengths are written with the first denominator that fits within two per cent: 21/16 for 2 s of 1.5, 7/16 for 1.333 s of 3.
+_BACK_SQL = _FORMS_SQL.replace(":150:200:", ":150:197:").replace(":300:133:", ":300:131:")
+
+
+@query("notes_written_back", _BACK_SQL)
+def notes_written_back(spark: SparkSession, d: str) -> DataFrame:
+    """The same notes, written in notation and read again."""
+    frames = _parsed(spark, d, [f for f, _ in FORMS]).frames
+    text = F.array_join(F.transform("notes", lambda n: N.written(n, 120.0)), "/")
+    rows = frames.groupBy("chart").agg(F.array_sort(F.collect_list(F.struct("time_sec", text.alias("text")))).alias("all"))
+    again = rows.select("chart", F.concat(F.lit("&inote_5=(120){4}"), F.array_join("all.text", ","), F.lit(",E")).alias("text"))
+    return _told(parse.parse(again, (5,)).frames)
+
+
 @query("notation_faults", f"""WITH f(i, told) AS (VALUES {_values([(i, x) for i, (_, x) in enumerate(FAULTS)])}) SELECT event_id, told FROM events JOIN f ON i = event_id % {len(FAULTS)} WHERE told <> ''""")
 def notation_faults(spark: SparkSession, d: str) -> DataFrame:
     """Of each event's chart the reason why it can't be read, or else the kinds of warnings."""
@@ -273,3 +295,21 @@ def chart_headers(spark: SparkSession, d: str) -> DataFrame:
     named = F.array_join(F.transform(F.array_sort(F.map_entries("local_levels")), lambda e: F.concat_ws(":", e["key"], e["value"])), " ")
     bodies = p.levels.groupBy("chart").agg(_text(F.array_sort(F.collect_list("level_name"))).alias("bodies"))
     return p.charts.join(bodies, "chart").select("chart", "title", "artist", "short_id", named.alias("levels"), "bodies")
+
+
+@query("ended_sequences", f"""WITH {NOTES}, c AS (SELECT event_id, [1] || CASE WHEN event_id % 2 = 0 THEN [3, 55] || body || [4] ELSE [] END AS given, ([3, 155] || body || [4] || [3, 255] || body || [4])[1 : event_id % 20] AS made, event_id % 8 // 2 AS r FROM notes),
+  t AS (SELECT event_id, len(given) AS g, given || made || CASE WHEN r < 2 THEN [] ELSE [2] END AS t, r < 2 AS broken FROM c), u AS (SELECT *, list_max(list_filter(range(1, len(t) + 1), lambda i: t[i] = 4)) AS last FROM t)
+  SELECT event_id, array_to_string(CASE WHEN broken THEN t[1 : coalesce(last, g)] || [2] ELSE t END, ' ') AS tokens, len(t) - g AS raw, CASE WHEN broken THEN coalesce(last, g) + 1 ELSE len(t) END - g AS kept, CASE WHEN broken THEN len(t) - coalesce(last, g) ELSE 0 END AS dropped FROM u""")
+def ended_sequences(spark: SparkSession, d: str) -> DataFrame:
+    """Decoding that stopped anywhere, for each of the four reasons, behind a prefix of no frame or of one."""
+    i = F.col("event_id")
+    frame = lambda t: N.frame_tokens(F.lit(t), F.array("note"))
+    given = F.concat(F.array(F.lit(V.SOS)), F.when(i % 2 == 0, frame(0.5)).otherwise(F.array().cast("array<int>")))
+    r = F.floor(i % 8 / 2).cast("int")
+    reason = F.get(F.array(*[F.lit(x) for x in ("token_budget", "grammar_dead_end", "eos", "pad")]), r)
+    made = F.slice(F.concat(frame(1.5), frame(2.5)), F.lit(1), (i % 20).cast("int"))
+    end = F.when(r < 2, F.array().cast("array<int>")).otherwise(F.array(F.lit(V.EOS)))
+    c = T.notes(spark, d).select("event_id", F.size(given).alias("g"), F.concat(given, made, end).alias("t"), reason.alias("reason"))
+    e = c.select("event_id", Q.ended(F.col("t"), F.col("g"), F.col("reason")).alias("e")).select("event_id", "e.*")
+    long = lambda c, n: F.col(c).cast("long").alias(n)
+    return e.select("event_id", _text("tokens").alias("tokens"), long("raw_new_tokens", "raw"), long("new_tokens", "kept"), long("dropped_tokens", "dropped"))

@@ -144,7 +144,27 @@ def rejected_charts(spark: SparkSession, d: str) -> DataFrame:
     return constraints.conflicts(T.frames(spark, d), ("chart",))
 
 
-@query("violations")
+#: The sequential rule, note by note: of a frame the first note that can't be ends it, and what is refused leaves no trace. Spots
+#: 1 to 8 are lanes, 9 to 41 areas.
+_VIOLATIONS = f"""WITH RECURSIVE {NOTES}, n AS (SELECT chart, event_id, time_sec, kind, CAST(round_even(time_sec * 100, 0) AS BIGINT) AS cs, array_to_string(body, ' ') AS text, round_even(value / 100.0 * 100, 0) AS length,
+    CASE WHEN kind IN ('purchase', 'signup') THEN 9 + event_id % 33 WHEN kind = 'error' AND event_id % 4 = 0 THEN NULL ELSE 1 + event_id % 8 END AS spot FROM notes),
+  f AS (SELECT chart, time_sec, count(*) <= 33 AND count(*) FILTER (spot <= 8) <= 2 AND count(DISTINCT spot) = count(spot) AND count(DISTINCT text) = count(*) AS ok FROM n GROUP BY chart, time_sec),
+  one AS (SELECT n.*, ok, row_number() OVER (PARTITION BY chart ORDER BY time_sec, event_id) AS i, CASE WHEN kind IN ('view', 'signup') THEN CAST(length AS BIGINT) END AS held,
+    CASE WHEN kind IN ('view', 'signup', 'error') THEN length <= 2999 AND (kind = 'error' OR length >= 1) ELSE true END AS fits FROM n JOIN f USING (chart, time_sec)),
+  s AS (SELECT DISTINCT chart, CAST(0 AS BIGINT) AS i, -1.0::DOUBLE AS time_sec, false AS broken, CAST(NULL AS BIGINT) AS cs, list_transform(range(41), lambda x: CAST(-1000 AS BIGINT)) AS until, list_transform(range(41), lambda x: CAST(-1000 AS BIGINT)) AS pressed,
+      CAST([] AS BIGINT[]) AS spots, CAST([] AS VARCHAR[]) AS texts, CAST(NULL AS VARCHAR) AS rule, CAST(NULL AS BIGINT) AS spot, CAST(NULL AS VARCHAR) AS kind FROM n
+    UNION ALL SELECT chart, i, time_sec, CASE WHEN NOT ok THEN false ELSE skip OR bad END, CASE WHEN ok AND NOT skip THEN cs ELSE last_cs END,
+      CASE WHEN ok AND NOT skip AND NOT bad AND held IS NOT NULL THEN list_transform(until, lambda x, k: CASE WHEN k = spot THEN cs + held ELSE x END) ELSE until END,
+      CASE WHEN ok AND NOT skip AND NOT bad AND spot <= 8 THEN list_transform(pressed, lambda x, k: CASE WHEN k = spot THEN cs ELSE x END) ELSE pressed END,
+      CASE WHEN NOT ok OR skip THEN spots WHEN bad OR spot IS NULL THEN fresh_spots ELSE list_append(fresh_spots, spot) END, CASE WHEN NOT ok OR skip THEN texts WHEN bad THEN fresh_texts ELSE list_append(fresh_texts, text) END,
+      CASE WHEN NOT ok AND first THEN 'FRAME_TOKEN_INVALID' WHEN ok AND NOT skip AND bad THEN 'RESOURCE_CONFLICT' END, spot, kind
+    FROM (SELECT *, NOT fits OR list_contains(fresh_texts, text) OR coalesce(list_contains(fresh_spots, spot) OR cs <= until[spot] + 5 OR (spot <= 8 AND cs - pressed[spot] < 3), false) AS bad
+      FROM (SELECT o.chart, o.i, o.time_sec, o.ok, o.cs, o.spot, o.kind, o.text, o.held, o.fits, s.until, s.pressed, s.spots, s.texts, s.cs AS last_cs, o.time_sec <> s.time_sec AS first, o.time_sec = s.time_sec AND s.broken AS skip,
+          CASE WHEN s.cs = o.cs THEN s.spots ELSE [] END AS fresh_spots, CASE WHEN s.cs = o.cs THEN s.texts ELSE [] END AS fresh_texts FROM s JOIN one o ON o.chart = s.chart AND o.i = s.i + 1)))
+  SELECT chart, rule, time_sec, CASE WHEN rule = 'RESOURCE_CONFLICT' THEN CASE WHEN spot <= 8 THEN CAST(spot AS VARCHAR) WHEN spot IS NULL THEN 'slide' ELSE {spread.TOUCHES.replace('event_id % 33 + 1', 'spot - 8')} END END AS place FROM s WHERE rule IS NOT NULL"""
+
+
+@query("violations", _VIOLATIONS)
 def violations(spark: SparkSession, d: str) -> DataFrame:
     return constraints.violations(T.frames(spark, d), ("chart",))
 

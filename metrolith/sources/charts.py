@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
 
 CHART_FILE, AUDIO_FILE = "maidata.txt", "track.mp3"
 CATALOGUE = "id string, title string, level array<string>, ds array<double>, basic_info struct<genre:string>"
@@ -60,3 +65,41 @@ def catalogue_version(songs: DataFrame) -> str:
 def write_texts(charts: DataFrame, folder: str) -> None:
     """A folder for each chart with its text; charts that couldn't be written (null text) are left out."""
     charts.where("text is not null").select("chart", "text").write.mode("overwrite").partitionBy("chart").text(folder)
+
+
+def save(charts: DataFrame, folder: str) -> DataFrame:
+    """Writes for each chart a folder of its own under `folder` with its text and a copy of its audio file. charts: chart (a
+    relative path), text, audio (the file's address, or null). Gives chart, text_path and audio_path of what was written when
+    it is read; a chart without text is left out. Addresses are any that pyarrow opens and all executors share. A file gets
+    its name when it is whole, so a lost task leaves none half written, and one that runs again writes the same."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target, root = fs.FileSystem.from_uri(folder)
+
+        def put(path: str, write) -> None:
+            target.create_dir(path.rpartition("/")[0], recursive=True)
+            draft = f"{path}.{uuid.uuid4().hex}"
+            with target.open_output_stream(draft) as out:
+                write(out)
+            target.move(draft, path)
+
+        def copy(address: str, out: pa.NativeFile) -> None:
+            store, path = fs.FileSystem.from_uri(address)
+            with store.open_input_stream(path) as given:
+                while part := given.read(1 << 22):
+                    out.write(part)
+
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                home = f"{root.rstrip('/')}/{row['chart'].strip('/')}"
+                text, audio = f"{home}/{CHART_FILE}", None
+                put(text, lambda out, row=row: out.write(row["text"].encode()))
+                if row["audio"]:
+                    audio = f"{home}/{row['audio'].rpartition('/')[2]}"
+                    put(audio, lambda out, row=row: copy(row["audio"], out))
+                rows.append((row["chart"], text, audio))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["chart", "text_path", "audio_path"])
+
+    some = charts.where("text is not null").select(F.col("chart").cast("string").alias("chart"), "text", F.col("audio").cast("string").alias("audio"))
+    return some.mapInArrow(run, "chart string, text_path string, audio_path string")

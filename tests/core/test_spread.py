@@ -13,6 +13,7 @@ from metrolith.functions import vocabulary as V
 from metrolith.operators import augment, decode, matching, parse, render, scan, segments, windows
 from metrolith.plans import charts
 from metrolith.plans import tables as T
+from metrolith.sources import charts as S
 from metrolith.sources import features, store
 from pyspark.sql import functions as F
 
@@ -329,3 +330,40 @@ def test_the_index_is_brought_up_to_date(spark, tmp_path):
     assert len(held.generations()) == 2
     assert {r.chart for r in spark.read.parquet(f"{root}/windows").where(F.col("generation") == newest).collect()} == {"s2/maidata.txt"}
     assert json.loads(held.generations()[0]["config"])["window"]["train_stride_sec"] == 2
+
+
+def test_what_was_made_is_saved_with_its_audio(spark, tmp_path):
+    audio = tmp_path / "given" / "track.mp3"
+    audio.parent.mkdir()
+    audio.write_bytes(bytes(range(256)) * 40_000)
+    frames = T.frames(spark, DIR).where("chart < 4")
+    made = render.single(frames, 5)
+    told = made.withColumn("chart", F.concat(F.lit("songs/"), "chart")).withColumn("audio", F.when(F.col("chart").endswith("1"), F.lit(str(audio))))
+    told = told.unionAll(spark.createDataFrame([("songs/none", None, str(audio))], told.schema))
+    rows = S.save(told, str(tmp_path / "out")).collect()
+    texts = {f"songs/{r.chart}": r.text for r in made.collect()}
+    assert {r.chart for r in rows} == set(texts) and all(t.startswith("&title=generated\n&artist=default\n") for t in texts.values())
+    for r in rows:
+        home = tmp_path / "out" / r.chart
+        assert (home / "maidata.txt").read_text() == texts[r.chart]
+        assert sorted(f.name for f in home.iterdir()) == ["maidata.txt"] + ["track.mp3"] * r.chart.endswith("1")
+    assert (tmp_path / "out" / "songs" / "1" / "track.mp3").read_bytes() == audio.read_bytes()
+
+
+def test_the_catalogues_digest_ignores_the_order_of_songs(spark):
+    rows = [(str(i), f"t{i}", ["13", "13+"], [13.0, 13.7], ("pop",)) for i in range(20)]
+    made = [spark.createDataFrame(r, S.CATALOGUE).repartition(n) for r, n in ((rows, 1), (rows[::-1], 3), (rows[:-1], 2))]
+    a, b, c = map(S.catalogue_version, made)
+    assert a == b != c and len(a) == 64
+
+
+def test_an_index_without_checks_keeps_every_chart(spark):
+    """The plain form: no catalogue, no rejection; charts that can't be read are left out and counted."""
+    head = "&lv_5=13\n&inote_5=\n"
+    texts = [("good", head + "(120){4}1,2,3,E"), ("crowded", head + "(6000){4}1,1,1,1,E"), ("bad", head + "(120){4}9,E"), ("other", "&inote_2=(120){4}1,E")]
+    df = spark.createDataFrame(texts, "chart string, text string")
+    songs = df.select("chart", F.lit(300).cast("long").alias("feature_frames"))
+    plain, strict = (charts.build_index(df, songs, validate=v) for v in (False, True))
+    assert {r.chart for r in plain.windows.collect()} == {"good", "crowded"} and {r.chart for r in strict.windows.collect()} == {"good"}
+    told = charts.statistics(plain.windows, plain.errors).first()
+    assert (told.charts, told.windows, told.parse_errors) == (2, 8, 1)
