@@ -11,9 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from metrolith.functions import durations as D
 from metrolith.functions import notes as N
 from metrolith.functions import vocabulary as V
 from metrolith.functions.quantize import centiseconds
+from metrolith.operators.scan import carry
 
 VIOLATION = "rule string, time_sec double, place string"
 
@@ -37,18 +39,29 @@ def crowded(used: DataFrame, keys: tuple[str, ...], release: int = V.RELEASE_CS,
     return told.where((F.col("cs") <= F.col("taken") + release) | pressed | (F.col("many") > 1)).drop("taken", "last", "many")
 
 
-def conflicts(frames: DataFrame, keys: tuple[str, ...] = ("chart", "level")) -> DataFrame:
-    """The distinct keys that have at least one violation. frames: keys, time_sec, notes."""
-    notes = F.col("notes")
-    alone = frames.where(~N.frame_is_valid(notes) | ~F.forall(notes, N.durations_are_valid) | (centiseconds(F.col("time_sec")) < 0)).select(*keys)
-    twice = frames.select(*keys, centiseconds(F.col("time_sec")).alias("cs"), F.explode("notes").alias("n"))
-    twice = twice.where("n.type = 'SLIDE'").groupBy(*keys, "cs", F.array_join(N.note_tokens(F.col("n")), " ").alias("text")).count().where("count > 1").select(*keys)
-    return alone.unionAll(twice).unionAll(crowded(uses(frames, keys), keys).select(*keys)).distinct()
+def conflicts(frames: DataFrame, keys: tuple[str, ...] = ("chart", "level"), release: int = V.RELEASE_CS, gap: int = V.PRESS_GAP_CS, span: int | None = None) -> DataFrame:
+    """The distinct keys that have at least one violation. frames: keys, time_sec, notes. span: centiseconds of a lane or area
+    that one task takes (see scan.carry); None: a lane of a group is one task.
 
+    Frames are read once: a row for each note, with what is wrong with its frame alone; then one for each spot and instant. A
+    slide that presses nothing is a spot of its own, as it must only not stand twice at one instant."""
+    notes, n = F.col("notes"), F.col("n")
+    alone = ~N.frame_is_valid(notes) | ~F.forall(notes, N.durations_are_valid) | (centiseconds(F.col("time_sec")) < 0)
+    each = D.worked_out(frames.select(*keys, "time_sec", "notes"), bad=alone, cs=centiseconds(F.col("time_sec"))).select(*keys, "bad", "cs", F.explode_outer("notes").alias("n"))
+    lane = N.press_lane(n)
+    kind = F.when(n["area"].isNotNull(), "touch").when(lane.isNotNull(), "press").otherwise("slide")
+    spot = F.coalesce(lane.cast("string"), n["area"], F.when(n["type"] == "SLIDE", F.array_join(N.note_tokens(n), " ")))
+    until = F.when(n["type"].isin("HOLD", "TOUCH_HOLD"), F.col("cs") + centiseconds(n["hold_sec"]))
+    used = each.select(*keys, "bad", "cs", kind.alias("kind"), spot.alias("spot"), until.alias("until_cs"))
+    instants = used.groupBy(*keys, "kind", "spot", "cs").agg(F.bool_or("bad").alias("bad"), F.count("*").alias("many"), F.max("until_cs").alias("until_cs"))
+    told = carry(instants, (*keys, "kind", "spot"), "cs", span, last={"last": F.col("cs")}, most={"taken": F.col("until_cs")})
+    crowd = (F.col("cs") <= F.col("taken") + release) | (F.col("kind") == "press") & (F.col("cs") - F.col("last") < gap) | (F.col("many") > 1)
+    return told.where(F.coalesce("bad", F.lit(True)) | F.col("spot").isNotNull() & crowd).select(*keys).distinct()
 
-def accepted(frames: DataFrame, keys: tuple[str, ...] = ("chart", "level")) -> DataFrame:
-    """The frames of all groups without a violation."""
-    return frames.join(conflicts(frames, keys), list(keys), "left_anti")
+
+def accepted(frames: DataFrame, keys: tuple[str, ...] = ("chart", "level"), span: int | None = None) -> DataFrame:
+    """The frames of all groups without a violation. span: as of conflicts()."""
+    return frames.join(conflicts(frames, keys, span=span), list(keys), "left_anti")
 
 
 class _State:
@@ -79,8 +92,9 @@ class _State:
         return None
 
 
-def violations(frames: DataFrame, keys: tuple[str, ...] = ("chart", "level")) -> DataFrame:
-    """Every violation in order: keys, rule, time_sec, place. A frame counts once; what it refuses leaves no trace.
+def violations(frames: DataFrame, keys: tuple[str, ...] = ("chart", "level"), span: float | None = None) -> DataFrame:
+    """Every violation in order: keys, rule, time_sec, place. A frame counts once; what it refuses leaves no trace. span:
+    seconds of a group that one task takes when runs are found (see scan.carry); None: a group is one task.
 
     Where all that was used before has come to rest, refused or not, nothing earlier matters: a group is cut into runs there
     and each run is folded on its own."""
@@ -94,12 +108,11 @@ def violations(frames: DataFrame, keys: tuple[str, ...] = ("chart", "level")) ->
         return F.struct(kind.alias("kind"), spot.alias("spot"), held.alias("until"), F.array_join(N.note_tokens(n), " ").alias("text"), N.durations_are_valid(n).alias("fits"))
 
     read = frames.select(*keys, "time_sec", centiseconds(F.col("time_sec")).alias("cs"), N.frame_is_valid(F.col("notes")).alias("ok"), F.transform("notes", fact).alias("facts"))
-    order = Window.partitionBy(*keys).orderBy("time_sec")
     held = F.array_max(F.transform("facts", lambda n: n["until"]))
     busy = F.greatest(F.col("cs") + (V.PRESS_GAP_CS - 1), F.col("cs") + held + V.RELEASE_CS)
-    rested = F.col("cs") > F.max("__busy").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = read.withColumn("__busy", busy).withColumn("__new", F.when(rested, 1).otherwise(0))
-    runs = marked.withColumn("__run", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__busy", "__new")
+    marked = carry(read, keys, "time_sec", span, most={"__busy": busy})
+    begins = F.when(F.col("__busy").isNull() | (F.col("cs") > F.col("__busy")), F.col("time_sec"))
+    runs = carry(marked, keys, "time_sec", span, last={"__run": begins}, inclusive=True).drop("__busy")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields[:n_keys]] + [VIOLATION])
 
     def fold(key: tuple, table: pa.Table) -> pa.Table:

@@ -10,7 +10,7 @@ import pytest
 from metrolith import __main__ as commands
 from metrolith import config
 from metrolith.functions import vocabulary as V
-from metrolith.operators import augment, decode, matching, parse, render, scan, segments, windows
+from metrolith.operators import augment, constraints, decode, matching, parse, render, scan, segments, windows
 from metrolith.plans import charts
 from metrolith.plans import tables as T
 from metrolith.sources import charts as S
@@ -34,6 +34,33 @@ def plain_carry(rows, inclusive):
     return out
 
 
+@pytest.mark.parametrize("span", [None, 7])
+def test_scan_of_the_greatest(spark, span):
+    draw = random.Random(5)
+    rows = [(key, at, draw.choice([None, draw.randrange(1000)])) for key in ("hot", "b") for at in range(150 if key == "hot" else 4)]
+    df = spark.createDataFrame(rows, "key string, at long, value long")
+    for inclusive in (True, False):
+        got = {(r.key, r.at): r.most for r in scan.carry(df, ("key",), "at", span, most={"most": F.col("value")}, inclusive=inclusive).collect()}
+        for key, at, _ in rows:
+            assert got[key, at] == max((v for k, a, v in rows if k == key and v is not None and (a < at or inclusive and a == at)), default=None)
+
+
+def test_rejection_is_the_same_either_way(spark):
+    frames = T.frames(spark, DIR)
+    crowd = frames.withColumn("time_sec", F.round(F.col("time_sec") / 40, 2)).groupBy("chart", "time_sec").agg(F.first("level").alias("level"), F.flatten(F.collect_list("notes")).alias("notes"))
+    for some in (frames, crowd, crowd.where("chart % 5 = 0").unionAll(crowd.limit(1).select(F.lit(999).alias("chart"), "time_sec", "level", F.expr("filter(notes, n -> false)")))):
+        listed = constraints.violations(some, ("chart",))
+        assert {r.chart for r in constraints.conflicts(some, ("chart",)).collect()} == {r.chart for r in constraints.conflicts(some, ("chart",), span=300).collect()} == {r.chart for r in listed.collect()}
+        spread = constraints.violations(some, ("chart",), span=5.0)
+        assert listed.exceptAll(spread).count() == spread.exceptAll(listed).count() == 0 < listed.count()
+
+
+def test_commits_are_numbered_the_same_either_way(spark):
+    made = spark.range(600).select((F.col("id") % 2).alias("chart"), F.floor(F.col("id") / 20).alias("k"), (12 + F.col("id") % 20 / 2.0).alias("time_sec"), F.array(F.lit(1)).alias("notes"))
+    plain = charts.overlap(made)
+    assert plain.exceptAll(charts.overlap(made, span=4)).count() == 0 < plain.count()
+
+
 @pytest.mark.parametrize("inclusive", [True, False])
 @pytest.mark.parametrize("span", [None, 1, 7, 1000])
 def test_scan(spark, span, inclusive):
