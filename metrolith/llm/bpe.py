@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Characters of text in one block, and words kept by a worker between blocks.
-BLOCK_CHARS, KEPT_WORDS = 2_000_000, 200_000
+#: Characters of text in one block, words kept by a worker between blocks, and the letters of the longest of them.
+BLOCK_CHARS, KEPT_WORDS, LONGEST_KEPT = 2_000_000, 200_000, 100
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -152,7 +152,11 @@ class BlockEncoder:
         for word, ids in zip(new, self.table.replay([w.encode() for w in new]), strict=True):
             self.known[word] = ids.astype(np.int32).tobytes()
         get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, p)), dtype=np.int32) for p in pieces]
+        out = [np.frombuffer(b"".join(map(get, p)), dtype=np.int32) for p in pieces]
+        for word in new:
+            if len(word) > LONGEST_KEPT:  # so the store is bounded in bytes too
+                del self.known[word]
+        return out
 
 
 _ENCODERS: dict[tuple[str, str], BlockEncoder] = {}

@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Pre-tokens and token seams whose results a worker keeps.
-KEPT = 600_000
+#: Pre-tokens and token seams whose results a worker keeps, and the letters of the longest pre-token that it keeps.
+KEPT, LONGEST_KEPT = 600_000, 100
 
 
 def _byte_letters() -> dict[str, int]:
@@ -117,7 +117,8 @@ class PrefixCounter:
         out = bytes(count[1:]) if count[-1] < 256 else tuple(count[1:])
         if len(self.tables) > KEPT:
             self.tables.clear()
-        self.tables[piece] = out
+        if len(piece) <= LONGEST_KEPT:  # so the store is bounded in bytes too
+            self.tables[piece] = out
         return out
 
     def parts(self, text: str) -> Iterator[tuple[str, int]]:

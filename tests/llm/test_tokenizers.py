@@ -68,3 +68,14 @@ def test_empty_table(docs):
     none = docs.where("false")
     assert token_counts.count_tokens(none, JSON, P.PATTERN, 5).count() == 0
     assert bpe.decode(bpe.encode(none, RANKS, P.PATTERN), RANKS).count() == 0
+
+
+def test_long_words_are_not_kept():
+    long = "".join(random.Random(1).choice("abcdefgh") for _ in range(20_000))
+    own = bpe.BlockEncoder(RANKS, P.PATTERN)
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    assert [x.tolist() for x in own.encode([long, "ab " + long, "ab"])] == [library.encode_ordinary(t) for t in (long, "ab " + long, "ab")]
+    assert max(map(len, own.known)) <= bpe.LONGEST_KEPT and "ab" in own.known
+    counter = token_counts.PrefixCounter(JSON, P.PATTERN)
+    assert sum(counter.counts(long[:3000] + " ab")[1]) == len(Tokenizer.from_file(JSON).encode(long[:3000] + " ab", add_special_tokens=False).ids)
+    assert max(map(len, counter.tables)) <= token_counts.LONGEST_KEPT
