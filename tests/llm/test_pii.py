@@ -1,7 +1,9 @@
+import math
 import hashlib
 import random
 import re
 
+import pytest
 from metrolith.llm import pii
 from pyspark.sql import functions as F
 
@@ -76,3 +78,52 @@ def test_what_is_found_spreads(spark):
     out = {r.doc_id: r for r in pii.extract(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(out[300 + i].n_other == 1 for i in range(20)) and all(out[400 + i].n_other == 1 for i in range(25))
     assert out[500].spans == "other:0:12" and out[501].n_other == 1 and out[502].n_other == 0
+
+
+def plain_values(found, s):
+    """The scoring of patterns and values over a plain graph. found: (context, value, seed, after) of all candidates."""
+    edges = {}
+    for context, value, seed, after in found:
+        word = context.split(" ")[-1]
+        shape = re.sub("[A-Z]+", "A", re.sub("[a-z]+", "a", re.sub("[0-9]", "0", value)))
+        for pattern in ([f"2 {context}", f"1 {word}", f"s {word} {shape}"] if context else []) + ([f"a {after}"] if after else []):
+            edges[pattern, value] = edges.get((pattern, value), False) or seed
+    weight = {e: float(seed) for e, seed in edges.items()}
+    for _ in range(s.rounds):
+        score = {}
+        for pattern in {p for p, _ in edges}:
+            own = [w for (p, _), w in weight.items() if p == pattern]
+            long, n = pattern.startswith("2 "), len(own)
+            w = sum(x for x in own if long or x >= s.min_confidence)
+            if sum(x >= s.min_confidence for x in own) < s.min_seeds:
+                continue
+            p, z = w / n, 1.96
+            least = (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+            if (value := w / (n + s.prior) if long else least) >= 0.5:
+                score[pattern] = value
+        told = {}
+        for (pattern, value), _ in edges.items():
+            if pattern in score:
+                doubt, best = told.get(value, (1.0, 0.0))
+                told[value] = (doubt * (1 - min(score[pattern], 0.999)), best) if pattern.startswith("2 ") else (doubt, max(best, score[pattern]))
+        weight = {e: 1.0 if edges[e] else max(1 - told[e[1]][0], told[e[1]][1]) if e[1] in told else 0.0 for e in edges}
+    return {v: w for (p, v), w in weight.items() if not edges[p, v] and w >= s.min_confidence}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_scores_match_a_plain_graph(spark, seed):
+    draw = random.Random(seed)
+    leads = ["please call me", "my number is", "write to", "badge no", "order", "see page", "id"]
+    values = [f"{draw.choice('ABC')}{draw.randrange(100)}-{draw.randrange(1000, 9999)}" for _ in range(25)]
+    phone = lambda: f"+1 {draw.randrange(200, 999)} 555 {draw.randrange(1000, 9999)}"
+    rows = []
+    for i in range(300):
+        k = draw.randrange(len(leads))  # what stands behind some words is mostly a number, behind others mostly a value of their own
+        what = phone() if draw.random() < (0.9 if k < 3 else 0.1) else draw.choice(values[k::3])
+        rows.append((i, f"{draw.choice(['', 'so '])}{leads[k]} {what} {draw.choice(['thanks', 'today', ''])}"))
+    scanned = pii.scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = [(f.context, f.value, f.seed, f.after) for r in scanned.collect() for f in r.found]
+    for settings in (pii.Settings(), pii.Settings(min_confidence=0.6, min_seeds=2, rounds=2)):
+        expected = plain_values(found, settings)
+        got = {r.value: r.weight for r in pii.confident_values(scanned, settings).collect()}
+        assert 0 < len(expected) < len(values) and got.keys() == expected.keys() and all(abs(got[v] - expected[v]) < 1e-9 for v in got)
