@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metrolith import config as C
+from metrolith.sources.shared import cut
 
 MANIFEST = "chart string, fingerprint string, gone boolean, generation string, bucket int"
 POINTER = "generation string, number long, whole boolean, config string, made timestamp"
@@ -101,6 +102,7 @@ class Store:
         """Brings the store up to date with sources (chart and what may change of it) and gives the new generation; None if
         nothing changed. build gets the rows of sources to build, and gives tables with a column `chart`. A chart that a
         table has no rows of has none there from then on."""
+        sources = cut(sources)  # looked at once: a file that changes meanwhile is newer than its fingerprint, and is built again next time
         now, then = self.fingerprints(sources), self.manifest()
         changed = now.join(then, ["bucket", "chart", "fingerprint"], "left_anti")
         gone = then.join(now, ["bucket", "chart"], "left_anti")
