@@ -53,11 +53,12 @@ def test_without_labels_or_rows(spark):
 
 
 def test_held_out_accuracy(spark):
-    """Rules learnt from half of the labels: they keep the other half's good rows and catch its bad ones."""
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    """Rules learnt from half of the labels: they keep the other half's good rows and catch its bad ones. The smaller tables have
+    too few bad rows beyond the base rules to learn from (18 in a half of those of sf0.01)."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     rules = Q.learn(docs, labels.where("doc_id % 2 = 0"))
     out = Q.judge(docs, rules).join(labels.where("doc_id % 2 = 1"), "doc_id").where("not base_failed").collect()
     good, bad = ([r.kept for r in out if r.quality == q] for q in (1, 0))
-    assert sum(good) >= 0.97 * len(good) and len(good) > 100
-    assert sum(not k for k in bad) >= 0.8 * len(bad) and len(bad) > 3
+    assert sum(good) >= 0.97 * len(good) and len(good) > 1000
+    assert sum(not k for k in bad) >= 0.9 * len(bad) and len(bad) > 100, (sum(not k for k in bad), len(bad))
