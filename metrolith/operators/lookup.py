@@ -16,28 +16,42 @@ def fallback_name(level: Column) -> Column:
     return F.when(value == 13.0, "13").when(value == 13.5, "13+").otherwise(level)
 
 
-def levels_match(listed: Column, local: Column, fallback: bool) -> Column:
-    """listed: the catalogue's names in order; local: a map from level to name. All that both have are equal, and one is."""
-    shared = F.filter(F.map_entries(local), lambda e: (e["key"] >= FIRST_LEVEL) & (e["key"] - FIRST_LEVEL < F.size(listed)))
-    same = F.forall(shared, lambda e: F.coalesce(F.get(listed, e["key"] - FIRST_LEVEL) == (fallback_name(e["value"]) if fallback else e["value"]), F.lit(False)))
-    return (F.size(shared) > 0) & same
+def _local_key(local: Column, listed_size: Column, fallback: bool) -> Column:
+    """What of a chart's levels (entries of key and value, in order) lies within a list of that size: the keys and the names."""
+    own = F.filter(local, lambda e: (e["key"] >= FIRST_LEVEL) & (e["key"] - FIRST_LEVEL < listed_size))
+    return F.transform(own, lambda e: F.struct(e["key"].alias("key"), (fallback_name(e["value"]) if fallback else e["value"]).alias("name")))
+
+
+def _met(forms: DataFrame, catalogue: DataFrame, song: Column, fallback: bool, name: str) -> DataFrame:
+    """title, local and `name`, the only song whose listed levels are those of the form; of two or more songs, none.
+
+    A song fits if all levels that both have are named alike, and there is one. That is met by equality, not pair by pair: for
+    each size of list of a title and each set of keys that its charts have within it, the names there are the key."""
+    sizes = catalogue.where(F.size("level") > 0).select("title", F.size("level").alias("size")).distinct()
+    asked = forms.join(sizes, "title").select("title", "local", "size", _local_key(F.col("local"), F.col("size"), fallback).alias("key"))
+    asked = asked.where((F.size("key") > 0) & F.forall("key", lambda e: e["name"].isNotNull())).withColumn("keys", F.col("key.key"))
+    sets = asked.select("title", "size", "keys").distinct()
+    rows = catalogue.select("title", F.size("level").alias("size"), "level", song.alias("s")).join(sets, ["title", "size"])
+    at = F.transform("keys", lambda k: F.struct(k.alias("key"), F.get("level", k - FIRST_LEVEL).alias("name")))
+    listed = rows.select("title", "size", at.alias("key"), "s").groupBy("title", "size", "key").agg(F.count("*").alias("n"), F.any_value("s").alias("s"))
+    met = asked.select("title", "local", "size", "key").join(listed, ["title", "size", "key"])
+    return met.groupBy("title", "local").agg(F.sum("n").alias("n"), F.any_value("s").alias(name)).where("n = 1").drop("n")
 
 
 def match(charts: DataFrame, catalogue: DataFrame) -> DataFrame:
     """charts (chart, title, short_id, local_levels ..) with song_id, song (the catalogue's row or null).
 
-    catalogue: id, title, level, ds, basic_info; of rows with one id the first by title counts. Spark picks how to join; a
-    small catalogue is broadcast by its measured size."""
+    catalogue: id, title, level, ds, basic_info; of rows with one id the first by title counts. Charts of one title and the
+    same local levels are looked up once. Spark picks how to join; a small catalogue is broadcast by its measured size.
+    Charts without an id are dealt over tasks, as a join by id would bring them all to one."""
     song = F.struct(*[F.col(f"`{c}`") for c in catalogue.columns])
-    by_id = catalogue.groupBy(F.col("id").cast("string").alias("short_id")).agg(F.min_by(song, "title").alias("by_id"))
-    titled = catalogue.select("title", song.alias("s"))
-    met = charts.select("chart", "title", "local_levels").join(titled, "title")
-    met = met.select("chart", "s", *[levels_match(F.col("s.level"), F.col("local_levels"), f).alias(n) for n, f in (("exact", False), ("loose", True))])
-    one = lambda ok: F.when(F.count_if(ok) == 1, F.any_value(F.when(F.col(ok), F.col("s")), True))
-    by_title = met.groupBy("chart").agg(one("exact").alias("by_level"), one("loose").alias("by_name"))
-    found = charts.join(by_id, "short_id", "left").join(by_title, "chart", "left")
+    by_id = catalogue.where("id is not null").groupBy(F.col("id").cast("string").alias("short_id")).agg(F.min_by(song, "title").alias("by_id")).withColumn("__deal", F.lit(0))
+    told = charts.withColumns({"local": F.array_sort(F.map_entries("local_levels")), "__deal": F.when(F.col("short_id").isNull(), F.pmod(F.xxhash64("chart"), F.lit(4096)).cast("int")).otherwise(0)})
+    forms = told.where("title is not null and size(local) > 0").select("title", "local").distinct()
+    by_title = _met(forms, catalogue, song, False, "by_level").join(_met(forms, catalogue, song, True, "by_name"), ["title", "local"], "full")
+    found = told.join(by_id, ["short_id", "__deal"], "left").join(by_title, ["title", "local"], "left")
     chosen = F.coalesce("by_id", "by_level", "by_name")
-    return found.select(*[found[c] for c in charts.columns], chosen["id"].alias("song_id"), chosen.alias("song"))
+    return found.select(*charts.columns, chosen["id"].alias("song_id"), chosen.alias("song"))
 
 
 def without_genre(matched: DataFrame, genre: str) -> DataFrame:
