@@ -71,7 +71,9 @@ def index(frames: DataFrame, songs: DataFrame, w: Windows = Windows()) -> DataFr
         F.array_sort(F.collect_list(F.struct("time_sec", "tokens"))).alias("all"),
         F.sum(F.when(F.col("part") == "prefix", F.size("tokens")).otherwise(0)).alias("before"),
     )
-    every = spine(songs.withColumn("length_sec", F.col("feature_frames") / float(w.hz)), w).join(gathered, ["chart", "k"], "left")
+    # Merged, whatever is asked of the result: to Spark the spine looks as small as the songs it is made from, and where empty
+    # windows are left out it would be broadcast.
+    every = spine(songs.withColumn("length_sec", F.col("feature_frames") / float(w.hz)), w).join(gathered.hint("merge"), ["chart", "k"], "left")
     body = F.flatten(F.transform("all", lambda s: s["tokens"]))
     tokens = F.concat(F.array(F.lit(V.SOS)), F.coalesce(body, F.array().cast("array<int>")), F.array(F.lit(V.EOS)))
     return every.withColumns(feature_range(F.col("window_start"), F.col("feature_frames"), w)).select(
@@ -133,17 +135,15 @@ def collate(rows: DataFrame, size: int, longest: int, order: str, also: tuple[st
     loss_start, and `order`, a dense number from 0. A row with more than `longest` tokens is refused, never cut."""
     n = F.size("tokens")
     fits = F.when(n > longest, F.raise_error(F.format_string(f"a window of %d tokens doesn't fit {longest}", n)).cast("int")).otherwise(n)
-    pad = lambda value, first, many: F.concat(first, F.array_repeat(value, longest - many))
-    upto = F.sequence(F.lit(0), F.lit(longest - 1))
-    told = batches(rows.withColumn("__n", fits), size, order).select(
+    pad = lambda first, value: F.concat(first, F.array_repeat(F.lit(value), longest - F.size(first)))
+    run = lambda value, many: F.array_repeat(F.lit(value), many)
+    begin = lambda r: F.least(r["loss_start"], F.size(r["tokens"]))
+    told = batches(rows.withColumn("__n", fits), size, order).select("batch", F.struct("place", F.when(F.col("__n") >= 0, F.col("tokens")).alias("tokens"), "loss_start", *also).alias("row"))
+    gathered = told.groupBy("batch").agg(F.array_sort(F.collect_list("row")).alias("rows"))  # padded behind the shuffle, as padding is most of a batch
+    return gathered.select(
         "batch",
-        F.struct(
-            "place",
-            pad(F.lit(V.PAD), F.col("tokens"), F.col("__n")).alias("tokens"),
-            F.transform(upto, lambda i: i < F.col("__n")).alias("mask"),
-            F.transform(upto, lambda i: (i >= F.col("loss_start")) & (i < F.col("__n"))).alias("loss_mask"),
-            *also,
-        ).alias("row"),
+        F.transform("rows", lambda r: pad(r["tokens"], V.PAD)).alias("tokens"),
+        F.transform("rows", lambda r: pad(run(True, F.size(r["tokens"])), False)).alias("mask"),
+        F.transform("rows", lambda r: pad(F.concat(run(False, begin(r)), run(True, F.size(r["tokens"]) - begin(r))), False)).alias("loss_mask"),
+        *[F.col(f"rows.{c}").alias(c) for c in also],
     )
-    gathered = told.groupBy("batch").agg(F.array_sort(F.collect_list("row")).alias("rows"))
-    return gathered.select("batch", *[F.col(f"rows.{c}").alias(c) for c in ("tokens", "mask", "loss_mask", *also)])

@@ -80,7 +80,7 @@ def _form(forms: list[str]) -> Column:
 def _parsed(spark: SparkSession, d: str, forms: list[str]) -> parse.Parsed:
     """Each event as a chart of its own."""
     text = F.concat(F.lit("&inote_5=(120){4}"), _filled(_form(forms)), F.lit(",E"))
-    return parse.parse(table(spark, d, "events").select(F.col("event_id").alias("chart"), text.alias("text")), (5,))
+    return parse.parse(table(spark, d, "events").select(F.col("event_id").alias("chart"), text.alias("text")), (5,), held=True)
 
 
 _FORMS_SQL = f"""WITH f(i, place, t) AS (VALUES {_values([(i, k, n) for i, (_, notes) in enumerate(FORMS) for k, n in enumerate(notes)])}), l AS (SELECT event_id, {_LANES} FROM events)
@@ -122,7 +122,7 @@ def notes_written_back(spark: SparkSession, d: str) -> DataFrame:
     text = F.array_join(F.transform("notes", lambda n: N.written(n, 120.0)), "/")
     rows = frames.groupBy("chart").agg(F.array_sort(F.collect_list(F.struct("time_sec", text.alias("text")))).alias("all"))
     again = rows.select("chart", F.concat(F.lit("&inote_5=(120){4}"), F.array_join("all.text", ","), F.lit(",E")).alias("text"))
-    return _told(parse.parse(again, (5,)).frames)
+    return _told(parse.parse(again, (5,), held=True).frames)
 
 
 @query("notation_faults", f"""WITH f(i, told) AS (VALUES {_values([(i, x) for i, (_, x) in enumerate(FAULTS)])}) SELECT event_id, told FROM events JOIN f ON i = event_id % {len(FAULTS)} WHERE told <> ''""")

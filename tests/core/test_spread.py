@@ -394,3 +394,31 @@ def test_an_index_without_checks_keeps_every_chart(spark):
     assert {r.chart for r in plain.windows.collect()} == {"good", "crowded"} and {r.chart for r in strict.windows.collect()} == {"good"}
     told = charts.statistics(plain.windows, plain.errors).first()
     assert (told.charts, told.windows, told.parse_errors) == (2, 8, 1)
+
+
+def test_the_spine_is_never_broadcast(spark):
+    """A filter that leaves empty windows out makes the outer join an inner one, whose smaller side by Spark's estimate is the spine."""
+    from metrolith.plans import registry
+
+    for name in ("windows_too_long", "window_index"):
+        df = registry.queries()[name](spark, "/root/testdata/sf0.001")
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_masks_of_a_batch(spark):
+    rows = spark.createDataFrame([(0, [1, 3, 4, 2], 2), (1, [1, 2], 1), (2, [1], 5), (3, [], 0)], "i long, tokens array<int>, loss_start int")
+    made = windows.collate(rows, 4, 6, "i").first()
+    assert [sum(m) for m in made["mask"]] == [4, 2, 1, 0] and all(m == sorted(m, reverse=True) and len(m) == 6 for m in made["mask"])
+    assert made["loss_mask"] == [[False, False, True, True, False, False], [False, True] + [False] * 4, [False] * 6, [False] * 6]
+
+
+def test_notes_held_are_the_same(spark):
+    given = spark.createDataFrame([(1, "&inote_5=(120){4}1,2h[4:1],E"), (2, "&inote_5=(120){4}1,9,E"), (3, "&inote_5=(120){x}1,E"), (4, None)], "chart long, text string")
+    a, b = parse.parse(given), parse.parse(given, held=True)
+    for name in ("frames", "errors", "warnings", "levels", "charts"):
+        told = lambda p: sorted(map(str, getattr(p, name).collect()))
+        assert told(a) == told(b)
+    held = b.frames.unionAll(b.frames)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in held  # what is read stands in the checkpoint
