@@ -32,9 +32,11 @@ from metrolith.llm.scratch import table
 from metrolith.llm.word_bpe import Store, byte_letters
 
 #: Bytes of text behind the events of one row, characters of text behind one batch of rows.
-BLOCK_BYTES, BATCH_CHARS = 16_384, 1_000_000
+BLOCK_BYTES, BATCH_CHARS = 16_384, 500_000
 #: Bytes of coded chunks that a worker keeps.
-STORE_BYTES = 48_000_000
+STORE_BYTES = 24_000_000
+#: Bytes of results, links and rows read that the machine's side holds at once.
+BATCH_BYTES, ROWS_READ = 4_000_000, 1_000
 #: Most pairs that are broadcast.
 HOT_PAIRS = 200_000
 #: Links of a group from which its ids are counted before they are paired.
@@ -261,7 +263,7 @@ def align(df: DataFrame, a: str, b: str, pattern: str, text: str = "text", keep:
             machine.close()
             shown, *links = machine.finish()
             done.append((*open_row, *machine.n_tokens, machine.n_groups, machine.n_links, shown, links))
-            size += len(shown) + 16 * len(links[0])
+            size += len(shown) + 24 * len(links[0])
             machine.begin()
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -273,7 +275,11 @@ def align(df: DataFrame, a: str, b: str, pattern: str, text: str = "text", keep:
             structs = pa.StructArray.from_arrays([pa.array(flat[0].astype(np.int32)), pa.array(flat[1].astype(np.int32)), pa.array(flat[2])], names=LINK.fieldNames())
             return pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(offsets), structs)], names=schema.fieldNames())
 
-        for batch in batches:
+        def parts() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield from (batch.slice(i, ROWS_READ) for i in range(0, batch.num_rows, ROWS_READ))
+
+        for batch in parts():
             for i, (row, at, which, steps, ids) in enumerate(zip(*[batch.column(len(kept) + c).to_pylist() for c in range(5)], strict=True)):
                 if not which:
                     if open_row is not None:
@@ -285,7 +291,7 @@ def align(df: DataFrame, a: str, b: str, pattern: str, text: str = "text", keep:
                     block = at
                 step_type, id_type = types[which - 1]
                 machine.take(which - 1, np.frombuffer(steps, step_type), np.frombuffer(ids, id_type))
-            if size > 16_000_000 or len(done) >= 5_000:
+            if size > BATCH_BYTES or len(done) >= 5_000:
                 yield batch_of(done)
                 done, size = [], 0
         if open_row is not None:
