@@ -17,7 +17,6 @@ rows and ids are documents of their own; an empty table gives an empty table; ot
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,14 +26,13 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from sentencepiece.sentencepiece_model_pb2 import ModelProto
 
 from metrolith.llm.scratch import table
-from metrolith.llm.word_bpe import Store, byte_letters
+from metrolith.llm.word_bpe import byte_letters
 
 #: Bytes of text behind the events of one row, characters of text behind one batch of rows.
 BLOCK_BYTES, BATCH_CHARS = 16_384, 500_000
-#: Bytes of coded chunks that a worker keeps.
-STORE_BYTES = 24_000_000
 #: Bytes of results, links and rows read that the machine's side holds at once.
 BATCH_BYTES, ROWS_READ = 4_000_000, 1_000
 #: Most pairs that are broadcast.
@@ -45,7 +43,8 @@ LARGE_GROUP = 1 << 16
 LINK = T.StructType([T.StructField("a", T.IntegerType(), False), T.StructField("b", T.IntegerType(), False), T.StructField("times", T.LongType(), False)])
 
 
-_chunk = re.compile(" +[^ ]*")
+#: The letter that stands for a space in pieces.
+SPACE = "\u2581"
 
 
 class ByteSide:
@@ -73,34 +72,53 @@ class ByteSide:
 
 
 class PieceSide:
-    """Pieces of a .model file, which puts the leading space itself. No piece has a space behind another letter, so a text is
-    coded in chunks of spaces and what follows them, each chunk once while a worker's store holds it. Each chunk is compared
-    with what its pieces give back."""
+    """Pieces of a .model file, which puts the leading space itself; a text that isn't given back as it was has the one id -1.
+
+    Where ranks() can state the model, a text is coded from its bytes by ranks, a space and what follows it at a time. The
+    library codes the rest, whole and compared with what its pieces give back: texts with a run of spaces, whose pieces share
+    one score, texts with the letter that stands for a space, and all texts of other models."""
 
     def __init__(self, path: str, pattern: str):
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        self.raw = [bytes([int(p[1:-1], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.whole = any("▁" in p.lstrip("▁") for p in pieces)
-        self.space = self.model.piece_to_id("▁")
-        self.store = Store(self.code, STORE_BYTES)
-
-    def chunks(self, text: str) -> list[str]:
-        """The chunks of a text that begins with a space, each without its first space."""
-        if self.whole:
-            return [text[1:]]
-        if "  " in text or text.endswith(" "):
-            return [c[1:] for c in _chunk.findall(text)]
-        return text.split(" ")[1:]
-
-    def code(self, chunk: str) -> bytes:
-        """Ids of a space and the chunk as 32-bit integers; one that isn't given back as it was, as id -1."""
-        ids = self.model.encode(chunk) if chunk else [self.space]
-        exact = b"".join(map(self.raw.__getitem__, ids)) == b" " + chunk.encode()
-        return np.array(ids if exact else [-1], dtype=np.int32).tobytes()
+        self.raw = [bytes([int(p[1:-1], 16)]) if self.model.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        with open(path, "rb") as file:
+            ranks = self.ranks(ModelProto.FromString(file.read()))
+        self.encode = None
+        if ranks:
+            self.encode = tiktoken.Encoding("own", pat_str=" [^ ]*", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self.made = [(self.own[t],) if t in self.own else tuple(self.of_byte[b] for b in t) for t in ranks]
+            self.piece = np.array([ids[0] if len(ids) == 1 else -1 for ids in self.made], dtype=np.int32)
+
+    def ranks(self, spec: ModelProto) -> dict[bytes, int] | None:
+        """The bytes of all tokens in the order of their merges: bytes, letters with what they begin with, pieces by score. So
+        the letters are whole before pieces are merged; what is no piece becomes its bytes' ids afterwards. None if the model
+        changes texts, or if ranks don't give the ids that scores give."""
+        how, normal, kind = spec.trainer_spec, spec.normalizer_spec, spec.SentencePiece
+        if how.model_type != how.BPE or how.treat_whitespace_as_suffix or normal.precompiled_charsmap or normal.remove_extra_whitespaces:
+            return None
+        if not normal.add_dummy_prefix or not normal.escape_whitespaces or {p.type for p in spec.pieces} - {kind.NORMAL, kind.BYTE, kind.CONTROL, kind.UNKNOWN}:
+            return None
+        self.of_byte = {self.raw[i][0]: i for i, p in enumerate(spec.pieces) if p.type == kind.BYTE}
+        scored = [(-p.score, i, p.piece) for i, p in enumerate(spec.pieces) if p.type == kind.NORMAL and (p.piece == SPACE or p.piece.strip(SPACE))]
+        if len(self.of_byte) < 256 or len({s for s, _, _ in scored}) < len(scored) or any(SPACE in p[1:] for _, _, p in scored):
+            return None
+        if any(self.model.encode(p[1:]) != [i] for _, i, p in scored if p[0] == SPACE and p != SPACE):  # not what its own letters merge to
+            return None
+        self.own = {self.raw[i]: i for _, i, _ in scored}
+        letters = [c.encode() for c in {c for _, _, p in scored for c in p.replace(SPACE, " ")}]
+        begun = sorted({c[:n] for c in letters for n in range(2, len(c) + 1)}, key=lambda t: (len(t), t))
+        tokens = [*(bytes([b]) for b in range(256)), *begun, *(self.raw[i] for _, i, _ in sorted(scored))]
+        return {t: n for n, t in enumerate(dict.fromkeys(tokens))}
 
     def ids(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.store.__getitem__, self.chunks(text))), dtype=np.int32)
+        if self.encode is None or "  " in text or SPACE in text:
+            ids = self.model.encode(text[1:])
+            exact = b"".join(map(self.raw.__getitem__, ids)) == text.encode()
+            return np.array(ids if exact else [-1], dtype=np.int32)
+        found = self.encode(text)
+        ids = self.piece[np.array(found, dtype=np.int32)]
+        return ids if ids.min() >= 0 else np.array([i for n in found for i in self.made[n]], dtype=np.int32)
 
 
 _SIDES: dict[tuple[str, str], ByteSide | PieceSide] = {}
@@ -139,11 +157,9 @@ def events(df: DataFrame, a: str, b: str, pattern: str, text: str, keep: tuple[s
                     found = [own.ids(" " + t) for own, _, _ in both]
                     if all(ids.min() >= 0 for ids in found):  # both give the text back: -1 stands for what a side doesn't
                         for k, (ids, (own, step_type, id_type)) in enumerate(zip(found, both, strict=True)):
-                            steps = own.size[ids]
-                            of = (np.cumsum(steps) - 1) // BLOCK_BYTES
-                            cuts = np.flatnonzero(np.diff(of)) + 1
-                            edges = [0, *cuts.tolist(), len(ids)]
-                            steps, ids = steps.astype(step_type), ids.astype(id_type)
+                            steps, ids = own.size[ids].astype(step_type), ids.astype(id_type)
+                            of = (np.cumsum(steps, dtype=np.int64) - 1) // BLOCK_BYTES
+                            edges = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(ids)] if of[-1] else [0, len(ids)]
                             rows += [(None, row, int(of[s]), k + 1, steps[s:e].tobytes(), ids[s:e].tobytes()) for s, e in zip(edges, edges[1:], strict=False)]
                     chars += len(t)
                 if chars >= BATCH_CHARS or i == last:
@@ -163,7 +179,7 @@ class Machine:
     def __init__(self, width_a: int, width_b: int):
         """The widths of the vocabularies."""
         self.base = 2 * width_a, width_b
-        self.label = [f"{i}{end}" for end in ",|" for i in range(width_a)] + [f"{i}{end}" for end in ",;" for i in range(width_b)]
+        self.label = np.array([f"{i}{end}" for end in ",|" for i in range(width_a)] + [f"{i}{end}" for end in ",;" for i in range(width_b)], dtype="S")
         self.begin()
 
     def begin(self) -> None:
@@ -171,7 +187,7 @@ class Machine:
         self.ends, self.ids = [none, none], [none, none]
         self.reached = [0, 0]
         self.n_tokens, self.n_groups, self.n_links = [0, 0], 0, 0
-        self.texts: list[str] = []
+        self.texts: list[bytes] = []
         self.keys: list[np.ndarray] = []
         self.times: list[np.ndarray] = []
 
@@ -180,8 +196,10 @@ class Machine:
         ends = np.cumsum(steps, dtype=np.int64) + self.reached[which]
         self.reached[which] = int(ends[-1])
         self.n_tokens[which] += len(ids)
-        self.ends[which] = np.concatenate([self.ends[which], ends])
-        self.ids[which] = np.concatenate([self.ids[which], ids.astype(np.int64)])
+        ids = ids.astype(np.int64)
+        waits = len(self.ends[which]) > 0
+        self.ends[which] = np.concatenate([self.ends[which], ends]) if waits else ends
+        self.ids[which] = np.concatenate([self.ids[which], ids]) if waits else ids
 
     def close(self) -> None:
         """Closes the groups whose end both sides have reached."""
@@ -194,7 +212,9 @@ class Machine:
         if not len(last_a):
             return
         last_b = at[last_a]
-        n_a, n_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
+        n_a, n_b = last_a + 1, last_b + 1
+        n_a[1:] -= n_a[:-1].copy()
+        n_b[1:] -= n_b[:-1].copy()
         closed_a, closed_b = int(last_a[-1]) + 1, int(last_b[-1]) + 1
         self.emit(id_a[:closed_a], id_b[:closed_b], n_a, n_b)
         self.ends = [end_a[closed_a:], end_b[closed_b:]]
@@ -203,15 +223,15 @@ class Machine:
     def emit(self, id_a: np.ndarray, id_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> None:
         """Whole groups: their text and their links."""
         until_a, until_b = np.cumsum(n_a), np.cumsum(n_b)
-        group_a, group_b = np.repeat(np.arange(len(n_a)), n_a), np.repeat(np.arange(len(n_b)), n_b)
+        from_b = np.repeat(until_b - n_b, n_a)  # of each A token, the first B token of its group
         base, width_b = self.base
         show_a, show_b = id_a.copy(), id_b + base
         show_a[until_a - 1] += base // 2
         show_b[until_b - 1] += width_b
         shown = np.empty(len(id_a) + len(id_b), dtype=np.int64)
-        shown[np.arange(len(id_a)) + (until_b - n_b)[group_a]] = show_a
-        shown[np.arange(len(id_b)) + until_a[group_b]] = show_b
-        self.texts.append("".join(map(self.label.__getitem__, shown.tolist())))
+        shown[np.arange(len(id_a)) + from_b] = show_a
+        shown[np.arange(len(id_b)) + np.repeat(until_a, n_b)] = show_b
+        self.texts.append(self.label[shown].tobytes().translate(None, b"\0"))  # labels are filled up with zeros
         links = n_a * n_b
         self.n_groups += len(links)
         self.n_links += int(links.sum())
@@ -220,10 +240,10 @@ class Machine:
             b, times_b = np.unique(id_b[until_b[g] - n_b[g] : until_b[g]], return_counts=True)
             self.keys.append((a[:, None] * width_b + b).ravel())
             self.times.append((times_a[:, None] * times_b).ravel())
-        links = np.where(links > LARGE_GROUP, 0, n_b)[group_a]  # of each A token
-        first = np.cumsum(links) - links
-        with_b = np.repeat((until_b - n_b)[group_a] - first, links) + np.arange(int(links.sum()))
-        keys, times = np.unique(np.repeat(id_a, links) * width_b + id_b[with_b], return_counts=True)
+        links = np.repeat(np.where(links > LARGE_GROUP, 0, n_b), n_a)  # of each A token
+        until = np.cumsum(links)
+        with_b = np.repeat(from_b - (until - links), links) + np.arange(int(until[-1]))
+        keys, times = np.unique(np.repeat(id_a * width_b, links) + id_b[with_b], return_counts=True)
         self.keys.append(keys)
         self.times.append(times)
 
@@ -234,7 +254,7 @@ class Machine:
         if len(self.keys) > 1:
             keys, of = np.unique(keys, return_inverse=True)
             times = np.bincount(of, weights=times, minlength=len(keys)).astype(np.int64) if self.n_links < 1 << 52 else _added(times, of, len(keys))
-        return "".join(self.texts)[:-1], keys // self.base[1], keys % self.base[1], times
+        return b"".join(self.texts)[:-1].decode(), keys // self.base[1], keys % self.base[1], times
 
 
 def _added(times: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:

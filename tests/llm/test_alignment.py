@@ -132,6 +132,53 @@ def test_ids_are_the_libraries(library):
     assert alignment.side(B, P.PATTERN).ids(" has ▁ inside").min() == -1
 
 
+@pytest.fixture(scope="module")
+def plain():
+    """Chunks without spaces: every letter but the two that stand for spaces, pieces and letters in odd orders, long ones."""
+    draw = random.Random(6)
+    model = sentencepiece.SentencePieceProcessor(model_file=B)
+    pieces = [p for p in (model.id_to_piece(i).replace("\u2581", "") for i in range(model.get_piece_size())) if p]
+    letters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c) not in " \u2581"]
+    mixed = ["".join(draw.choice(draw.choice((pieces, letters[:700], letters, "aeiou\n\0"))) for _ in range(draw.randrange(1, 12))) for _ in range(60_000)]
+    return [*letters, *pieces, *mixed, "a" * 30_000, "".join(draw.choice("abcdeé日") for _ in range(30_000))]
+
+
+def test_pieces_by_ranks_are_the_librarys(plain):
+    model, own = sentencepiece.SentencePieceProcessor(model_file=B), alignment.side(B, P.PATTERN)
+    for i in range(0, len(plain), 5_000):
+        t = " ".join(plain[i : i + 5_000])
+        assert own.ids(" " + t).tolist() == model.encode(t)
+
+
+def test_new_words_need_no_call_of_the_library(library):
+    """Each distinct word was a call of its own, half of all CPU seconds where most words are new."""
+    own = alignment.PieceSide(B, P.PATTERN)
+    t = "new words" + "".join(f" w{i}é" for i in range(1000))
+    own.model = None
+    assert own.ids(" " + t).tolist() == [i for i, _ in library(t)[1]]
+
+
+def test_models_that_ranks_do_not_state_are_coded_by_the_library(tmp_path, library):
+    from sentencepiece.sentencepiece_model_pb2 import ModelProto
+
+    def changed(change):
+        with open(B, "rb") as file:
+            spec = ModelProto.FromString(file.read())
+        change(spec)
+        (tmp_path / "m.model").write_bytes(spec.SerializeToString())
+        return alignment.PieceSide(str(tmp_path / "m.model"), P.PATTERN)
+
+    def tie(spec):
+        spec.pieces[300].score = spec.pieces[301].score
+
+    for change in (tie, lambda s: setattr(s.normalizer_spec, "remove_extra_whitespaces", True), lambda s: setattr(s.trainer_spec, "model_type", 1)):
+        own = changed(change)
+        assert own.encode is None
+        assert own.ids(" the same text").min() >= 0
+    own = changed(lambda s: setattr(s.normalizer_spec, "remove_extra_whitespaces", True))
+    assert own.ids("  two  spaces").tolist() == [-1]
+
+
 def test_query_over_the_driver_table(spark, library):
     out = registry.queries()["op12_alignment"](spark, "/root/testdata/sf0.001")
     assert out.dtypes == [("doc_id", "bigint"), *[(c, "bigint") for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")], ("groups_sha256", "string")]
