@@ -2,8 +2,9 @@
 
 Inside one pre-token, the encoding of a prefix ends in the one token t whose seam with the last token of the prefix
 before it stays open under all merges; so count[i] = count[i - len(t)] + 1 and the table of a pre-token holds the exact
-count of each of its byte prefixes. Counts at pre-token borders add up. A truncation or budget question is then a
-look-up in running sums, without encoding again.
+count of each of its byte prefixes. The tokens that a prefix can end in are read off an automaton, whose state is the
+longest end of the prefix that begins some token; its steps are worked out when they first occur. Counts at pre-token
+borders add up. A truncation or budget question is then a look-up in running sums, without encoding again.
 
 Defined results: null text counts as empty (0 bytes, 0 tokens); an empty table gives an empty table; repeated rows are
 counted row by row; other columns are dropped unless named in `keep`.
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Pre-tokens and token seams whose results a worker keeps, and the letters of the longest pre-token that it keeps.
+#: Pre-tokens, token seams and steps whose results a worker keeps, and the letters of the longest pre-token that it keeps.
 KEPT, LONGEST_KEPT = 600_000, 100
 
 
@@ -63,11 +64,16 @@ class PrefixCounter:
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.split = regex.compile(pattern).findall
-        self.longest = max(map(len, self.id))
         self.tables: dict[str, bytes | tuple] = {}
         self.seams: dict[int, bool] = {}
         #: Tokens that the merges never produce from their own bytes can't end a prefix.
         self.unmade = {t for raw_bytes, t in self.id.items() if self.plain(raw_bytes) != [t]}
+        self.begun = {token[:n] for token in self.id for n in range(len(token) + 1)}
+        #: Of each state, its bytes and the tokens that end there with their sizes, longest first.
+        self.states: dict[bytes, int] = {b"": 0}
+        self.held: list[bytes] = [b""]
+        self.endings: list[tuple[tuple[int, int], ...]] = [()]
+        self.steps: dict[int, int] = {}
 
     def plain(self, data: bytes) -> list[int]:
         """Encoding by the definition: lowest rank first, leftmost first."""
@@ -99,21 +105,41 @@ class PrefixCounter:
         self.seams[key] = seam
         return seam
 
+    def step(self, state: int, byte: int) -> int:
+        """The state behind one more byte."""
+        held = self.held[state] + bytes((byte,))
+        while held not in self.begun:
+            held = held[1:]
+        to = self.states.get(held)
+        if to is None:
+            to = self.states[held] = len(self.held)
+            ends = ((self.id.get(held[i:]), len(held) - i) for i in range(len(held)))
+            self.held.append(held)
+            self.endings.append(tuple((t, n) for t, n in ends if t is not None and t not in self.unmade))
+        if len(self.steps) > KEPT:
+            self.steps.clear()
+        self.steps[state << 8 | byte] = to
+        return to
+
     def table(self, piece: str) -> bytes | tuple:
         """count[i] for i = 1 .. bytes of the piece."""
         known = self.tables.get(piece)
         if known is not None:
             return known
-        data = piece.encode()
-        ids, unmade, seam, longest = self.id, self.unmade, self.open_seam, self.longest
-        count, last = [0], [-1]
-        for end in range(1, len(data) + 1):
-            for begin in range(max(0, end - longest), end):
-                token = ids.get(data[begin:end])
-                if token is not None and token not in unmade and (begin == 0 or seam(last[begin], token)):
-                    count.append(count[begin] + 1)
-                    last.append(token)
-                    break
+        steps, endings, seams = self.steps.get, self.endings, self.seams.get
+        count, last, state = [0], [-1], 0
+        for end, byte in enumerate(piece.encode(), 1):
+            to = steps(state << 8 | byte)
+            state = self.step(state, byte) if to is None else to
+            for token, size in endings[state]:
+                begin = end - size
+                if begin:
+                    seam = seams(last[begin] << 20 | token)
+                    if not (self.open_seam(last[begin], token) if seam is None else seam):
+                        continue
+                count.append(count[begin] + 1)
+                last.append(token)
+                break
         out = bytes(count[1:]) if count[-1] < 256 else tuple(count[1:])
         if len(self.tables) > KEPT:
             self.tables.clear()

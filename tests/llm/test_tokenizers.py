@@ -79,3 +79,25 @@ def test_long_words_are_not_kept():
     counter = token_counts.PrefixCounter(JSON, P.PATTERN)
     assert sum(counter.counts(long[:3000] + " ab")[1]) == len(Tokenizer.from_file(JSON).encode(long[:3000] + " ab", add_special_tokens=False).ids)
     assert max(map(len, counter.tables)) <= token_counts.LONGEST_KEPT
+
+
+def test_a_byte_costs_the_tokens_that_end_there_not_all_sizes():
+    class Asked(dict):
+        times = 0
+
+        def get(self, key, default=None):
+            self.times += 1
+            return super().get(key, default)
+
+    counter, word = token_counts.PrefixCounter(JSON, P.PATTERN), "".join(random.Random(2).choice("abcdefgh") for _ in range(20_000))
+    counter.id = Asked(counter.id)
+    assert counter.table(word)[-1] == len(Tokenizer.from_file(JSON).encode(word, add_special_tokens=False).ids)
+    assert counter.id.times < len(word)
+
+
+def test_counts_stay_when_the_stores_are_emptied(texts, monkeypatch):
+    monkeypatch.setattr(token_counts, "KEPT", 40)
+    library, own = Tokenizer.from_file(JSON), token_counts.PrefixCounter(JSON, P.PATTERN)
+    for t in [t for t in texts if t]:
+        assert sum(own.counts(t)[1]) == len(library.encode(t, add_special_tokens=False).ids)
+        assert max(len(own.steps), len(own.seams), len(own.tables)) <= 41
