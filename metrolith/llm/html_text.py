@@ -9,7 +9,7 @@ Blocks that are mostly covered go; of other blocks only a run at an end goes, ne
 short blocks go, and no page loses more than half, so an article that a host shows on several pages stays on all of them.
 
 Windows are counted exactly in two passes: a window that has its share of the host has it in some chunk of the input too,
-so a first pass names those and a second one counts them over all pages. No text is shuffled and no host meets one task.
+so a first pass names those and a second one, if there are any, counts them over all pages. No text is shuffled and no host meets one task.
 
 Defined results: null and empty html give an empty text; a null url is a host of its own for each page, so nothing there
 is repeated; pages of a host with equal blocks count as one page; repeated rows have equal results; an empty table gives
@@ -21,6 +21,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -56,19 +57,21 @@ CONTAINERS = frozenset("div section aside nav footer header form ul ol figure ta
 ITEMS = frozenset("li dd dt tr td".split())
 TELLING = frozenset("no has with without is not".split())
 
-_tag = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>""")
+#: Text up to a tag, the slash of an end tag, the name and the attributes.
+_tag = re.compile(r"""([^<]*+)<(/?)([a-zA-Z][^\s/>]*)((?:[^'">]++|"[^"]*"|'[^']*')*+)>""")
 _attribute = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _hidden = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _words = re.compile(r"[A-Za-z]+")
 
 
 class _Open:
-    """An open element: its name, whether it hides its content, and whether it is an article."""
+    """An open element: its name, whether it hides its content, whether it is an article, and whether words of its attributes
+    alone hide it that aren't words of comments."""
 
-    __slots__ = ("name", "hides", "article")
+    __slots__ = ("name", "hides", "article", "worded")
 
-    def __init__(self, name: str, hides: str, article: bool):
-        self.name, self.hides, self.article = name, hides, article
+    def __init__(self, name: str, hides: str, article: bool, worded: bool):
+        self.name, self.hides, self.article, self.worded = name, hides, article, worded
 
 
 def _marked(attributes: str, words: str) -> str:
@@ -90,49 +93,59 @@ def _marked(attributes: str, words: str) -> str:
     return "other" if _hidden.search(attributes) else ""
 
 
+_marked_before = lru_cache(maxsize=1 << 13)(_marked)
+#: Attributes up to this length are remembered.
+REMEMBERED = 200
+
+
 def blocks(page: str) -> tuple[list[str], list[str]]:
     """(blocks of articles, other blocks that aren't ruled out), white space reduced and references decoded.
 
     Words in attributes rule out an article's containers only where at least half of the article is left; else only those
     that mark comments count. If they rule out all there is on a page, none count, so such words never empty a page."""
-    main, rest = _blocks(page, "all")
-    if main or not rest:
-        other, rest_too = _blocks(page, "comment")
+    main, rest, worded = _blocks(page, "all")
+    if worded and (main or not rest):
+        other, rest_too, _ = _blocks(page, "comment")
         if sum(map(len, other)) > 2 * sum(map(len, main)):
             main, rest = other, rest_too
-    return (main, rest) if main or rest else _blocks(page, "none")
+    return (main, rest) if main or rest else _blocks(page, "none")[:2]
+
 
+def _blocks(page: str, words: str) -> tuple[list[str], list[str], bool]:
+    """(blocks of articles, other blocks, whether the former may be others if only words of comments count).
 
-def _blocks(page: str, words: str) -> tuple[list[str], list[str]]:
+    Outside articles such words decide about other blocks only, unless an article begins inside the element that has them."""
     main: list[str] = []
     open_blocks: list[str] = []
     stack: list[_Open] = []
     buffer: list[str] = []
-    hidden, in_article = "", 0
+    hidden, in_article, doubt = "", 0, False
 
     def flush() -> None:
-        if buffer:
-            if text := " ".join(entities.unescape("".join(buffer)).split()):
-                (main if in_article else open_blocks).append(text)
-            buffer.clear()
+        if text := " ".join(entities.unescape("".join(buffer)).split()):
+            (main if in_article else open_blocks).append(text)
+        buffer.clear()
 
     def state() -> tuple[str, int]:
         hides = next((x.hides for x in stack if x.hides), "")
         return hides, sum(x.article for x in stack)
 
+    def mark(attributes: str, words: str) -> str:
+        return (_marked_before if len(attributes) <= REMEMBERED else _marked)(attributes, words)
+
     at, size = 0, len(page)
     lowered = None
     while at < size:
-        lt = page.find("<", at)
-        if lt < 0:
-            lt = size
-        if lt > at and not hidden:
-            buffer.append(page[at:lt])
-        if lt == size:
-            break
-        at = lt
         m = _tag.match(page, at)
         if not m:
+            lt = page.find("<", at)
+            if lt < 0:
+                lt = size
+            if lt > at and not hidden:
+                buffer.append(page[at:lt])
+            if lt == size:
+                break
+            at = lt
             if page.startswith("<!--", at):
                 end = page.find("-->", at + 4)
                 at = size if end < 0 else end + 3
@@ -148,52 +161,67 @@ def _blocks(page: str, words: str) -> tuple[list[str], list[str]]:
                     buffer.append("<")
                 at += 1
             continue
-        at, name = m.end(), m.group(2).lower()
-        if not m.group(1):
-            if name in RAW:
-                lowered = lowered if lowered is not None else page.lower() if len(page.lower()) == size else page
-                end = lowered.find("</" + name, at)
-                at = size if end < 0 else (page.find(">", end) + 1 or size)
-                continue
-            if name in BLOCKS:
+        text, slash, name, attributes = m.groups()
+        at, name = m.end(), name.lower()
+        if text and not hidden:
+            buffer.append(text)
+        if not slash and name in RAW:
+            lowered = lowered if lowered is not None else page.lower() if len(page.lower()) == size else page
+            end = lowered.find("</" + name, at)
+            at = size if end < 0 else (page.find(">", end) + 1 or size)
+            continue
+        if name in BLOCKS:
+            if buffer:
                 flush()
-            elif name in SPACES and not hidden:
-                buffer.append(" ")
-            if name in VOID or m.group(3).endswith("/"):
+        elif name in SPACES and not hidden:
+            buffer.append(" ")
+        if not slash:
+            if name in VOID or attributes.endswith("/"):
                 continue
             if name == "p":  # a paragraph ends the one before it
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i].name == "p":
                         del stack[i:]
+                        hidden, in_article = state()
                         break
                     if stack[i].name in BLOCKS:
                         break
-            belongs = in_article and name not in CONTAINERS
-            marked = _marked(m.group(3), words if not belongs else "comment" if name in ITEMS and words != "none" else "none")
             article = name in ("article", "main")
+            marked, worded = "", False
+            if attributes:
+                belongs = in_article and name not in CONTAINERS
+                count = words if not belongs else "comment" if name in ITEMS and words != "none" else "none"
+                marked = mark(attributes, count)
+                worded = count == "all" and marked == "other" and name not in ("html", "body") and not mark(attributes, "comment")
+            if worded and (in_article or article) or article and any(x.worded for x in stack):
+                doubt = True
             if article and not marked and hidden and hidden != "comment":
-                flush()
+                if buffer:
+                    flush()
                 while stack and state()[0]:  # a menu or notice that was never closed
                     stack.pop()
                 hidden, in_article = state()
             hides = marked if name not in ("html", "body") and marked else "other" if name in HIDDEN or name == "header" and not in_article else ""
             if article and marked == "other":
                 hides = ""
-            stack.append(_Open(name, hides, article and not hides))
+            stack.append(_Open(name, hides, article and not hides, worded))
+            hidden = hidden or hides
+            in_article += article and not hides
+        elif stack and stack[-1].name == name:
+            last = stack.pop()
+            if last.hides or last.article:
+                hidden, in_article = state()
         else:
-            if name in BLOCKS:
-                flush()
-            elif name in SPACES and not hidden:
-                buffer.append(" ")
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].name == name), -1)
             if depth < 0:
                 continue
             if any(x.article or x.hides and x.name in HIDDEN for x in stack[depth + 1 :]) and name not in ("body", "html", "article", "main"):
                 continue  # a stray end tag doesn't close what holds it
             del stack[depth:]
-        hidden, in_article = state()
-    flush()
-    return main, open_blocks
+            hidden, in_article = state()
+    if buffer:
+        flush()
+    return main, open_blocks, doubt
 
 
 def read_pages(df: DataFrame, html: str = "html", url: str = "url", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
@@ -219,7 +247,7 @@ def _windows(texts: list[str], hosts: list[int], long: int) -> Iterator[tuple[in
     """(place in texts, number of tokens, code of each window of `long` tokens, which holds the host)."""
     table = pa.table({"id": pa.array(np.arange(len(texts))), "text": pa.array(texts, pa.string())})
     for part in B.slices(table):
-        words = Words(part, GAP)
+        words = Words(part, GAP, lanes=1)
         runs = words.sums(0).runs(long)
         for i, first, end in zip(part.ids.tolist(), words.starts[:-1].tolist(), words.starts[1:].tolist(), strict=True):
             codes = runs[first : max(first, end - long + 1)]
@@ -237,14 +265,18 @@ def _counted(pages: DataFrame, long: int, share: float, wanted=None) -> DataFram
         def flush() -> pa.RecordBatch:
             n = [len(c) for c in codes]
             hosts, weights = np.array([h for h, _ in owner], dtype=np.int64), np.array([w for _, w in owner])
-            code, first, place = np.unique(np.concatenate(codes), return_index=True, return_inverse=True)
-            total = np.bincount(place, weights=np.repeat(weights, n))
-            host_of = np.repeat(hosts, n)[first]
+            every, page = np.concatenate(codes), np.repeat(np.arange(len(n)), n)
+            least = np.zeros(len(n))
             if wanted is None:
-                names, which = np.unique(hosts, return_inverse=True)
-                here = np.bincount(which, weights=weights)[np.searchsorted(names, host_of)]
-                real = total >= share * here - 1e-6
-                code, total, host_of = code[real], total[real], host_of[real]
+                _, which = np.unique(hosts, return_inverse=True)
+                least = share * np.bincount(which, weights=weights)[which] - 1e-6
+                ranked = np.sort(every)  # most windows stand on one page only, and one page is seldom enough
+                real = B.found(every, np.unique(ranked[1:][ranked[1:] == ranked[:-1]])) | (weights >= least)[page]
+                every, page = every[real], page[real]
+            code, first, place = np.unique(every, return_index=True, return_inverse=True)
+            total = np.bincount(place, weights=weights[page], minlength=len(code))
+            real = total >= least[page[first]]
+            code, total, host_of = code[real], total[real], hosts[page[first]][real]
             codes.clear()
             owner.clear()
             return pa.RecordBatch.from_arrays([pa.array(host_of), pa.array(code), pa.array(total)], names=["host", "code", "weight"])
@@ -275,7 +307,10 @@ def boilerplate(read: DataFrame, long: int, share: float) -> DataFrame:
     small = copies.count() <= BROADCAST
     pages = own.join(F.broadcast(copies) if small else copies, "__stream", "left").select("__host", (1.0 / F.coalesce("n", F.lit(1))).alias("weight"), "__text")
     named = cut(_counted(pages, long, share).join(hosts, F.col("host") == F.col("__host"), "left_semi").select("host", "code").distinct())
-    if named.count() <= BROADCAST:
+    n_named = named.count()
+    if not n_named:
+        return named.select(F.col("host").alias("__host"), "code")
+    if n_named <= BROADCAST:
         wanted = read.sparkSession.sparkContext.broadcast(np.sort(named.select("code").toArrow().column("code").to_numpy()))
         counted = _counted(pages, long, share, wanted)
     else:
@@ -335,8 +370,10 @@ def extract(df: DataFrame, html: str = "html", url: str = "url", keep: tuple[str
     read = cut(read)
     found = cut(boilerplate(read, long, share))
     columns = [F.col(f"`{c}`") for c in keep]
-    small = found.count() <= BROADCAST
-    if small:
+    n_found = found.count()
+    if not n_found:
+        return read.select(*columns, F.col("__text").alias("text"), F.length("__text").cast("long").alias("n_chars"))
+    if n_found <= BROADCAST:
         codes = found.toArrow()
         order = np.argsort(codes.column("__host").to_numpy(), kind="stable")
         hosts, starts = np.unique(codes.column("__host").to_numpy()[order], return_index=True)

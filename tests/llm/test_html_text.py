@@ -136,3 +136,32 @@ def test_shared_runs_match_brute_force(spark):
     for long, share in ((3, 0.5), (6, 0.5), (4, 0.2)):
         found = H.boilerplate(read, long, share).groupBy("__host").count().collect()
         assert {chr(r["__host"]): r["count"] for r in found} == plain_boilerplate(pages, long, share, H.LEAST)
+
+
+def test_a_page_is_read_twice_only_if_words_in_attributes_can_change_its_article(spark, monkeypatch):
+    read, seen = H._blocks, []
+    monkeypatch.setattr(H, "_blocks", lambda page, words: seen.append(words) or read(page, words))
+    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").where("html is not null").collect():
+        seen.clear()
+        H.blocks(r.html)
+        assert seen == ["all"]
+    draw = random.Random(9)
+    tags = ["<article>", "</article>", "<main>", "<div>", '<div class="ad">', '<p class="share">', '<li class="reply">', '<article class="promo">', '<div class="comments">', '<body class="search">', "<div hidden class=ad>", "</div>", "</p>", "</body>", "<nav>", "</nav>", "<span class=ad>", "</span>"]
+    for _ in range(3000):
+        page = "".join(draw.choice(tags) + draw.choice(["", f"w{draw.randrange(50)} "]) for _ in range(draw.randrange(1, 14)))
+        main, rest, _ = read(page, "all")
+        if main or not rest:
+            other, rest_too, _ = read(page, "comment")
+            if sum(map(len, other)) > 2 * sum(map(len, main)):
+                main, rest = other, rest_too
+        if not main and not rest:
+            main, rest, _ = read(page, "none")
+        assert H.blocks(page)[0] == main and text(page) == "\n".join(main or rest), page
+
+
+def test_pages_without_repeats_are_not_counted_again(spark, monkeypatch):
+    counted, seen = H._counted, []
+    monkeypatch.setattr(H, "_counted", lambda *a: seen.append(a) or counted(*a))
+    rows = [(i, "http://h.org/", f"<p>{' '.join(f'w{i}x{j}' for j in range(20))}</p>") for i in range(80)]
+    out = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in out} == {i: page[3:-4] for i, _, page in rows} and len(seen) == 1
