@@ -36,8 +36,9 @@ from metrolith.llm.url_filters import host
 
 #: Tokens of a run that is long enough to be boilerplate; the share of a host's pages, and the least number, that have it.
 LONG, SHARE, LEAST = 6, 0.5, 3
-#: The share of a block that is covered when all of it goes; tokens that are counted at a time; windows that are broadcast.
-MOSTLY, CHUNK, BROADCAST = 0.8, 1 << 22, 1_000_000
+#: The share of a block that is covered when all of it goes; tokens that are counted at a time, less than twice as many
+#: at most; windows that are broadcast.
+MOSTLY, CHUNK, BROADCAST = 0.8, 1 << 21, 1_000_000
 #: Tokens of the longest block of an article that repeats may take, and the largest share of a page that they may.
 SHORT, LARGEST = 40, 0.5
 GAP = np.zeros(256, dtype=bool)
@@ -260,12 +261,12 @@ def _counted(pages: DataFrame, long: int, share: float, wanted=None) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: list[np.ndarray] = []
         owner: list[tuple[int, float]] = []
-        size = 0
+        size = at = at_size = 0
 
-        def flush() -> pa.RecordBatch:
-            n = [len(c) for c in codes]
-            hosts, weights = np.array([h for h, _ in owner], dtype=np.int64), np.array([w for _, w in owner])
-            every, page = np.concatenate(codes), np.repeat(np.arange(len(n)), n)
+        def flush(until: int) -> pa.RecordBatch:
+            n = [len(c) for c in codes[:until]]
+            hosts, weights = np.array([h for h, _ in owner[:until]], dtype=np.int64), np.array([w for _, w in owner[:until]])
+            every, page = np.concatenate(codes[:until]), np.repeat(np.arange(len(n)), n)
             least = np.zeros(len(n))
             if wanted is None:
                 _, which = np.unique(hosts, return_inverse=True)
@@ -277,8 +278,7 @@ def _counted(pages: DataFrame, long: int, share: float, wanted=None) -> DataFram
             total = np.bincount(place, weights=weights[page], minlength=len(code))
             real = total >= least[page[first]]
             code, total, host_of = code[real], total[real], hosts[page[first]][real]
-            codes.clear()
-            owner.clear()
+            del codes[:until], owner[:until]
             return pa.RecordBatch.from_arrays([pa.array(host_of), pa.array(code), pa.array(total)], names=["host", "code", "weight"])
 
         for batch in batches:
@@ -286,15 +286,18 @@ def _counted(pages: DataFrame, long: int, share: float, wanted=None) -> DataFram
             for i, _, found in _windows(texts, hosts, long):
                 found = np.unique(found)
                 if wanted is not None:
-                    found = found[np.isin(found, wanted.value)] if len(wanted.value) else found[:0]
+                    found = found[B.found(found, wanted.value)]
                 codes.append(found)
                 owner.append((hosts[i], weights[i]))
                 size += len(found)
-                if size >= CHUNK:
-                    size = 0
-                    yield flush()
+                if size >= CHUNK and not at:
+                    at, at_size = len(codes), size
+                if size >= 2 * CHUNK:  # so the last chunk isn't a few pages, which would name all they have
+                    yield flush(at)
+                    size -= at_size
+                    at, at_size = len(codes), size
         if codes:
-            yield flush()
+            yield flush(len(codes))
 
     return pages.mapInArrow(run, "host long, code long, weight double")
 
@@ -377,7 +380,7 @@ def extract(df: DataFrame, html: str = "html", url: str = "url", keep: tuple[str
         codes = found.toArrow()
         order = np.argsort(codes.column("__host").to_numpy(), kind="stable")
         hosts, starts = np.unique(codes.column("__host").to_numpy()[order], return_index=True)
-        held = dict(zip(hosts.tolist(), np.split(codes.column("code").to_numpy()[order], starts[1:]), strict=True)) if len(hosts) else {}
+        held = dict(zip(hosts.tolist(), map(np.sort, np.split(codes.column("code").to_numpy()[order], starts[1:])), strict=True)) if len(hosts) else {}
         by_host = df.sparkSession.sparkContext.broadcast(held)
         told = read.select(*columns, "__host", F.lit(None).cast("array<int>").alias("__hit"), "__article", "__text")
     else:
@@ -393,7 +396,7 @@ def extract(df: DataFrame, html: str = "html", url: str = "url", keep: tuple[str
             some = [k for k, (h, t) in enumerate(zip(hosts, texts, strict=True)) if h in known and t] if by_host is not None else np.flatnonzero(hits.is_valid().to_numpy(zero_copy_only=False)).tolist()
             for i, n, own in _windows([texts[k] for k in some], [hosts[k] for k in some], long):
                 k = some[i]
-                hit = np.flatnonzero(np.isin(own, known[hosts[k]])) if by_host is not None else hits[k].values.to_numpy()
+                hit = np.flatnonzero(B.found(own, known[hosts[k]])) if by_host is not None else hits[k].values.to_numpy()
                 if len(hit):
                     texts[k] = without(texts[k], hit, n, long, article[k])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-4], pa.array(texts, pa.string())], names=schema.fieldNames())

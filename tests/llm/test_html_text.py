@@ -1,7 +1,9 @@
 import html
 import random
 import re
+import time
 
+import numpy as np
 from metrolith.llm import html_text as H
 from pyspark.sql import functions as F
 
@@ -165,3 +167,14 @@ def test_pages_without_repeats_are_not_counted_again(spark, monkeypatch):
     rows = [(i, "http://h.org/", f"<p>{' '.join(f'w{i}x{j}' for j in range(20))}</p>") for i in range(80)]
     out = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r.page_id: r.text for r in out} == {i: page[3:-4] for i, _, page in rows} and len(seen) == 1
+
+
+def test_pages_meet_many_named_windows_in_seconds(spark):
+    pages = spark.range(4000).selectExpr("id % 7 as __host", "1d as weight", "concat('a b c d e f g w', id, ' x', id) as __text")
+    every = H._counted(pages, 3, 0.0).groupBy("host", "code").sum("weight").collect()
+    codes = np.array([r["code"] for r in every if r["code"] % 3], dtype=np.int64)
+    many = np.sort(np.append(codes, np.arange(900_000, dtype=np.int64)))
+    began = time.time()
+    some = H._counted(pages, 3, 0.0, spark.sparkContext.broadcast(many)).groupBy("host", "code").sum("weight").collect()
+    assert time.time() - began < 15 and len(codes) > 4000
+    assert sorted(some) == sorted(r for r in every if r["code"] % 3)
