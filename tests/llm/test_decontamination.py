@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 from metrolith.llm import decontamination as D
 from pyspark.sql import functions as F
 
@@ -149,3 +150,40 @@ def test_very_long_texts_and_equal_shares(spark):
     docs = spark.createDataFrame([(1, " ".join(long)), (2, "x" * 2_000_000), (3, " ".join(t for _, t in items))], "doc_id long, text string")
     got = {r.doc_id: (r.item_ids, r.best_share) for r in D.mark(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == {1: ([0, 1, 2], 1.0), 2: ([], None), 3: ([0, 1, 2], 1.0)}
+
+
+def plain_space(texts, weights, idf, rank):
+    """The whitened feature vectors by a full SVD of the weighted TF-IDF passages."""
+    rows = []
+    for t, w in zip(texts, weights, strict=True):
+        f = D._features(np.array(D._codes([t])[0], dtype=np.uint64))
+        rows += [w * np.bincount(f[i : i + 32], minlength=D.DIMENSIONS) * idf for i in range(0, len(f), 32)]
+    _, values, right = np.linalg.svd(np.array(rows), full_matrices=False)
+    return right[:rank].T / values[:rank] * idf[:, None]
+
+
+def test_the_space_is_fitted_on_every_text(spark):
+    draw = random.Random(14)
+    topics = [[f"t{k}w{j % (3 + k)}" for j in range(32)] for k in range(12)]
+    texts = [" ".join(draw.sample(topics[min(11, i % 37)], 32)) for i in range(2600)]  # the words of a topic in any order
+    texts += [texts[5]] * 300 + [" ".join(f"rare{j}" for j in range(32))] * 7
+    df = spark.createDataFrame([*[(t,) for t in texts], (None,), ("",)], "text string")
+    items = spark.createDataFrame([(0, texts[0])], "item_id long, text string")
+    got = D.latent_space(df, items, D.Settings(rank=13), "text", "text")
+    counts, n = D.document_frequencies(df, "text")
+    once = list(dict.fromkeys(texts))
+    want = plain_space([*once, texts[0]], [*[1.0] * len(once), D.Settings().items_weight], np.log1p((1 + n) / (1 + counts)), 13)
+    used = np.flatnonzero(counts)
+    got, want = got[used] @ got[used].T, want[used] @ want[used].T
+    assert n == len(texts) + 2 and np.abs(got - want).max() < 0.001 * np.abs(want).max()
+
+
+def test_rows_spread_to_features():
+    draw = np.random.default_rng(5)
+    y, padded = draw.standard_normal((40, 3), dtype=np.float32), np.where(draw.random(1280) < 0.3, 7, draw.integers(0, 90, 1280)).astype(np.int32)
+    padded[draw.random(1280) < 0.1] = D.DIMENSIONS
+    total, want = np.zeros((D.DIMENSIONS, 3)), np.zeros((D.DIMENSIONS + 1, 3))
+    np.add.at(want, padded, y[np.arange(1280) // 32])
+    D.spread(y, padded, 32, total)
+    assert np.allclose(total, want[:-1], atol=1e-4)
+    D.spread(y[:0], padded[:0], 32, total)
